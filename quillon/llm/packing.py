@@ -99,9 +99,11 @@ def column_generation(demand: np.ndarray, capacity: int, rounds: int = 5000) ->
     m = len(sizes)
     if not m:
         return np.zeros((0, len(demand)), np.int64), np.zeros(0)
+    # sums of products instead of BLAS, whose threads don't get on with forks
+    times = lambda a, b: (a * b).sum(axis=1)
     basis = np.diag(capacity // (sizes + 1)).astype(float)
-    inverse = np.linalg.inv(basis)
-    x = inverse @ demand[sizes]
+    inverse = np.diag(1 / np.diag(basis))
+    x = times(inverse, demand[sizes])
     for step in range(rounds):
         duals = inverse.sum(axis=0)
         prices = np.zeros(len(demand))
@@ -110,7 +112,7 @@ def column_generation(demand: np.ndarray, capacity: int, rounds: int = 5000) ->
         if value <= 1 + 1e-7:
             break
         column = pattern[sizes].astype(float)
-        direction = inverse @ column
+        direction = times(inverse, column)
         up = direction > 1e-9
         ratio = np.full(m, np.inf)
         ratio[up] = x[up] / direction[up]
@@ -123,9 +125,10 @@ def column_generation(demand: np.ndarray, capacity: int, rounds: int = 5000) ->
         factor = direction.copy()
         factor[out] = 0
         inverse -= np.outer(factor, inverse[out])
-        if step % 200 == 199:
-            inverse = np.linalg.inv(basis)
-            x = np.maximum(inverse @ demand[sizes], 0)
+        if step % 200 == 199:  # a Newton step takes back the rounding errors
+            error = np.eye(m) - np.einsum("ij,jk->ik", basis, inverse)
+            inverse += np.einsum("ij,jk->ik", inverse, error)
+            x = np.maximum(times(inverse, demand[sizes]), 0)
     patterns = np.zeros((m, len(demand)), np.int64)
     patterns[:, sizes] = np.rint(basis).astype(np.int64).T
     return patterns, x
@@ -135,11 +138,10 @@ def plan(demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """Whole patterns and their counts that take exactly the demand."""
     patterns, x = column_generation(demand, capacity)
     use = np.floor(x + 1e-6).astype(np.int64)
-    left = demand - patterns.T @ use if len(use) else demand.copy()
-    while (left < 0).any():  # the basis covers a size with more than there is
-        j = int(np.argmax((patterns[:, left < 0].sum(axis=1) > 0) & (use > 0)))
-        use[j] -= 1
-        left = demand - patterns.T @ use
+    taken = lambda: (patterns * use[:, None]).sum(axis=0)
+    while (over := taken() > demand).any():  # rounding errors only
+        use[int(np.argmax((patterns[:, over].sum(axis=1) > 0) & (use > 0)))] -= 1
+    left = demand - taken()
     rest, room, bins = left.copy(), [], []
     for size in range(len(demand), 0, -1):
         while rest[size - 1]:
