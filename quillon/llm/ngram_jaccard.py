@@ -1,6 +1,8 @@
 """N-gram Jaccard self-join with Bayesian candidate pruning.
 
-Documents are sets of word shingles. Documents with equal sets collapse to
+Documents are sets of word shingles. Words are runs of letters, digits and
+non-ASCII characters of the lower-cased text (sharp s as ss), so copies that
+only move sentence borders stay equal. Documents with equal sets collapse to
 one representative. Candidates share a band of MinHash values. Within a
 bucket, MinHash values (one bit of each) are compared a block at a time, and
 a pair is dropped as soon as the posterior probability that its similarity
@@ -30,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from quillon.llm import kernels as K, repeats
@@ -45,9 +48,14 @@ _STEP = 32  # bits compared at a time
 _CHUNK = 1 << 16
 
 
+def normal_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Buffer of the lower-cased texts."""
+    return K.text_buffer(pc.replace_substring(pc.utf8_lower(column), "ß", "ss"))
+
+
 def shingle_sets(data: np.ndarray, offs: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Row and hash of the distinct shingles of each document, in order."""
-    starts, ends, first = K.word_spans(data, offs, K.NON_SPACE)
+    starts, ends, first = K.word_spans(data, offs, K.ALNUM)
     prefix = K.word_prefix(K.span_hash(K.byte_prefix(data), starts, ends))
     at = K.window_starts(first, size)
     rows, grams = K.row_of(first, at), K.span_hash(prefix, at, at + size, K.WORDS)
@@ -262,7 +270,7 @@ def _profile(docs: DataFrame) -> DataFrame:
     def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         band = np.arange(BANDS, dtype=K.U64) * K.U64(0xA0761D6478BD642F)
         for batch in batches:
-            data, offs = K.text_buffer(batch.column("text"))
+            data, offs = normal_text(batch.column("text"))
             for i, j in K.slices(offs):
                 rows, grams = shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 who, values = signatures(rows, grams)
@@ -324,7 +332,7 @@ def _links(docs: DataFrame, sets: DataFrame, groups: DataFrame, threshold: float
                 t = t.filter(pa.array(new)).combine_chunks()
                 group, lo, hi, node = (t[c].to_numpy() for c in (*keys, "node"))
             border = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]))
-            data, offs = K.text_buffer(t["text"])
+            data, offs = normal_text(t["text"].combine_chunks())
             rows, grams = shingle_sets(data, offs)
             edge = np.searchsorted(rows, np.append(border, len(node)))
             copies, side = t["copies"].to_numpy(), t["side"].to_numpy()
