@@ -21,7 +21,8 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,7 @@ from quillon.llm.storage import ship
 
 _SPACES = re.compile(r"\s{2,}(?=\S)")
 _LONG = 256
+_WHOLE = 1 << 20
 _NEVER = 1 << 60
 
 
@@ -78,7 +80,8 @@ class PrefixCounter:
         for (a, b), n in self.ranks.items():
             self.splits.setdefault(a + b, (a, b, n))
         self.spines: tuple[dict, dict] = ({}, {})
-        self.pairs: dict[tuple[bytes, bytes], bool] = {}
+        self.pairs: dict[int, bool] = {}
+        self.names = {i: t for t, i in self.tokens.items()}
         self.tables = _Tables(self.word_table)
         self.added = re.compile("|".join(map(re.escape, sorted(self.encoder.added, key=len, reverse=True)))) if self.encoder.added else None
 
@@ -104,48 +107,74 @@ class PrefixCounter:
         that both still stand when its turn comes. Of equal merges the left
         one goes first.
         """
-        known = self.pairs.get((p, t))
-        if known is None:
-            ranks, known = self.ranks, True
-            right = self._spine(t, 0)
-            for x, x_ends in self._spine(p, 1):
-                for y, y_ends in right:
-                    r = ranks.get((x, y))
-                    if r is not None and r < x_ends and r <= y_ends:
-                        known = False
-                        break
-                if not known:
-                    break
-            if len(self.pairs) > 500_000:
-                self.pairs.clear()
-            self.pairs[p, t] = known
-        return known
-
-    def byte_counts(self, word: bytes) -> list[int]:
-        """Number of tokens of each byte prefix of a pre-token (n + 1 entries)."""
-        last: list[bytes] = [b""] * (len(word) + 1)
-        count = [0] * (len(word) + 1)
-        for end in range(1, len(word) + 1):
-            for start in range(max(0, end - self.longest), end):
-                t = word[start:end]
-                if t in self.tokens and (not start or self._compatible(last[start], t)):
-                    last[end], count[end] = t, count[start] + 1
-                    break
+        ranks, right = self.ranks, self._spine(t, 0)
+        for x, x_ends in self._spine(p, 1):
+            for y, y_ends in right:
+                r = ranks.get((x, y))
+                if r is not None and r < x_ends and r <= y_ends:
+                    return False
+        return True
+
+    def byte_counts(self, word: bytes, known: int = 0, ids: list[int] | None = None, count: list[int] | None = None) -> tuple[list[int], list[int]]:
+        """Last token and number of tokens of each byte prefix of a pre-token.
+
+        ``ids`` and ``count`` may hold what an earlier word gave for the first
+        ``known`` bytes that it shares with this one.
+        """
+        n, get, pairs, longest = len(word), self.tokens.get, self.pairs, self.longest
+        ids = ids[: known + 1] if known else [-1]
+        count = count[: known + 1] if known else [0]
+        for end in range(known + 1, n + 1):
+            for start in range(max(0, end - longest), end):
+                t = get(word[start:end])
+                if t is None:
+                    continue
+                if start:
+                    key = ids[start] << 20 | t
+                    ok = pairs.get(key)
+                    if ok is None:
+                        if len(pairs) > 500_000:
+                            pairs.clear()
+                        ok = pairs[key] = self._compatible(self.names[ids[start]], self.names[t])
+                    if not ok:
+                        continue
+                ids.append(t)
+                count.append(count[start] + 1)
+                break
             else:
                 raise ValueError("a byte has no token")
-        return count
-
-    def word_table(self, word: str) -> bytes:
-        """Packed 32-bit counts at each code point prefix of a pre-token but the empty one."""
-        raw = word.encode("utf-8", "surrogatepass")
-        count = self.byte_counts(raw)
-        table = np.array(count[1:], dtype="<i4")
-        if len(raw) != len(word):
-            table = table[np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in word]) - 1]
+        return ids, count
+
+    def learn(self, words: Iterable[str]) -> None:
+        """Solve many pre-tokens in sorted order, each from the prefix it shares."""
+        if len(self.tables) + len(words) > tokenize.CACHE_WORDS:
+            self.tables.clear()
+        before, ids, count = b"", [-1], [0]
+        for raw, word in sorted((w.encode("utf-8", "surrogatepass"), w) for w in words):
+            shared, most = 0, min(len(raw), len(before))
+            while shared < most and raw[shared] == before[shared]:
+                shared += 1
+            ids, count = self.byte_counts(raw, shared, ids, count)
+            before = raw
+            table = self._pack(word, raw, count)
+            if len(word) <= _LONG:
+                self.tables[word] = table
+
+    def _pack(self, word: str, raw: bytes, count: list[int]) -> bytes:
+        """Packed 32-bit counts at each code point prefix but the empty one."""
+        if len(raw) == len(word):
+            table = array("i", count[1:])
+        else:
+            ends = [i for i in range(1, len(raw)) if raw[i] & 0xC0 != 0x80]
+            table = array("i", [count[i] for i in (*ends, len(raw))])
         if word in ("'re", "'ve", "'ll"):
             table[1] = 2  # cut there, the apostrophe and the letter are two pre-tokens
         return table.tobytes()
 
+    def word_table(self, word: str) -> bytes:
+        raw = word.encode("utf-8", "surrogatepass")
+        return self._pack(word, raw, self.byte_counts(raw)[1])
+
     def _pretokens(self, text: str) -> Iterator[list[str]]:
         if self.encoder.plain(text):
             yield from self.encoder.words(text)
@@ -153,10 +182,10 @@ class PrefixCounter:
             pieces = self.encoder.tokenizer.pre_tokenizer.pre_tokenize_str(text)
             yield [text[a:b] for _, (a, b) in pieces]
 
-    def _segment(self, text: str) -> np.ndarray:
-        """Table of a text in which no added token stands."""
+    def _segment(self, text: str, cut: Iterable[list[str]] | None = None) -> np.ndarray:
+        """Table of a text (pre-tokens ``cut``) in which no added token stands."""
         packed, sizes = [], []
-        for words in self._pretokens(text):
+        for words in cut if cut is not None else self._pretokens(text):
             packed.append(b"".join(map(self.tables.__getitem__, words)))
             sizes += map(len, words)
         if not sizes:
@@ -170,6 +199,15 @@ class PrefixCounter:
             out[m.end()] = out[m.start()] + np.frombuffer(self.tables[m.group()], "<i4")[-1]
         return out
 
+    def table_batch(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """``table`` of each text; new pre-tokens of all are solved together."""
+        plain = self.encoder.plain
+        cuts = [list(self.encoder.words(t)) if t and len(t) <= _WHOLE and plain(t) else None for t in texts]
+        new = set().union(*(words for cut in cuts if cut for words in cut)).difference(self.tables)
+        self.learn(new)
+        for text, cut in zip(texts, cuts, strict=True):
+            yield self.table(text) if cut is None else self._segment(text, cut)
+
     def table(self, text: str | None) -> np.ndarray:
         """Token count of each code point prefix of a text (length + 1 entries)."""
         text = text or ""
@@ -214,9 +252,9 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, keep_table: bool
         solver = counter(path)
         for batch in batches:
             size, tokens, fits, kept = [], [], [], []
-            for value in batch.column("text"):
-                text = value.as_py()
-                table = solver.table(text)
+            texts = batch.column("text").to_pylist()
+            tables = (t for i in range(0, len(texts), 512) for t in solver.table_batch(texts[i : i + 512]))
+            for text, table in zip(texts, tables, strict=True):
                 size.append(len((text or "").encode()))
                 tokens.append(int(table[-1]))
                 fits.append(len(table) - 1 if table[-1] <= limit else longest_prefix(table, limit))
