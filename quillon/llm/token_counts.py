@@ -73,7 +73,10 @@ class PrefixCounter:
         alphabet = _byte_alphabet()
         raw = lambda s: bytes(alphabet[c] for c in s)
         self.tokens = {raw(t): i for t, i in spec["model"]["vocab"].items() if all(c in alphabet for c in t)}
-        self.longest = max(map(len, self.tokens))
+        self.reach: dict[bytes, int] = {}  # length of the longest token with these last four bytes
+        for t in self.tokens:
+            if len(t) > 3:
+                self.reach[t[-4:]] = max(self.reach.get(t[-4:], 0), len(t))
         merges = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
         self.ranks = {(raw(a), raw(b)): n for n, (a, b) in enumerate(merges)}
         self.splits: dict[bytes, tuple[bytes, bytes, int]] = {}
@@ -121,11 +124,11 @@ class PrefixCounter:
         ``ids`` and ``count`` may hold what an earlier word gave for the first
         ``known`` bytes that it shares with this one.
         """
-        n, get, pairs, longest = len(word), self.tokens.get, self.pairs, self.longest
+        n, get, pairs, reach = len(word), self.tokens.get, self.pairs, self.reach.get
         ids = ids[: known + 1] if known else [-1]
         count = count[: known + 1] if known else [0]
         for end in range(known + 1, n + 1):
-            for start in range(max(0, end - longest), end):
+            for start in range(max(0, end - reach(word[end - 4 : end], 3)) if end > 3 else 0, end):
                 t = get(word[start:end])
                 if t is None:
                     continue
@@ -203,8 +206,8 @@ class PrefixCounter:
         """``table`` of each text; new pre-tokens of all are solved together."""
         plain = self.encoder.plain
         cuts = [list(self.encoder.words(t)) if t and len(t) <= _WHOLE and plain(t) else None for t in texts]
-        new = set().union(*(words for cut in cuts if cut for words in cut)).difference(self.tables)
-        self.learn(new)
+        known = self.tables
+        self.learn({w for cut in cuts if cut for words in cut for w in words if w not in known})
         for text, cut in zip(texts, cuts, strict=True):
             yield self.table(text) if cut is None else self._segment(text, cut)
 

@@ -13,7 +13,6 @@ import json
 import os
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 
@@ -29,7 +28,7 @@ _WORD_LEVEL = re.compile(f"{_ENDINGS}|[{_LETTER}]+|[{_NUMBER}]|[^\\s{_LETTER}{_N
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 #: Distinct pre-tokens kept for each worker process before the cache starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 1_000_000
 _SEGMENT = 1 << 18
 _LOADED: dict[str, Encoder] = {}
 
@@ -69,6 +68,9 @@ class Encoder:
             if split["pattern"] == {"Regex": known} and split["behavior"] == "Removed" and split["invert"] and steps == ["NFC", "Replace", "Lowercase"]:
                 self.pattern, self.lower = _WORD_LEVEL, True
         self.cache: dict[str, bytes] = {}
+        sep = "§" if self.lower else "\n"
+        mark = self.tokenizer.encode(sep, add_special_tokens=False).ids
+        self.parted = (sep, mark[0] if len(mark) == 1 else None)
 
     def plain(self, text: str) -> bool:
         """Whether the pattern here cuts the text as the library does."""
@@ -79,25 +81,48 @@ class Encoder:
         for part in segments(text):
             yield self.pattern.findall(part.lower() if self.lower else part)
 
+    def _alone(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _learn(self, words: set[str]) -> None:
+        """Encode new pre-tokens: many in one text, parted by a pre-token of one id."""
+        sep, mark = self.parted
+        plain = [w for w in words if sep not in w and not w.isspace()] if mark is not None else []
+        for i in range(0, len(plain), 2048):
+            some = plain[i : i + 2048]
+            joint = f" {sep} " if self.lower else sep
+            ids = np.array(self.tokenizer.encode_batch_fast([joint + joint.join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            cut = np.flatnonzero(ids == mark)
+            if len(cut) != len(some):
+                plain = plain[:i]
+                break
+            raw, ends = ids.tobytes(), np.append(cut[1:], len(ids)).tolist()
+            self.cache.update((w, raw[4 * a + 4 : 4 * b]) for w, a, b in zip(some, cut.tolist(), ends, strict=True))
+        rest = list(words.difference(plain))
+        for i in range(0, len(rest), 4096):
+            self.cache.update(zip(rest[i : i + 4096], self._alone(rest[i : i + 4096]), strict=True))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Packed ids of each text (null: none), without special tokens added."""
         out: list[bytes] = [b""] * len(texts)
-        held: list[tuple[int, list[str]]] = []
+        held: list[tuple[int, list[str], list[bytes]]] = []
         load = 0
 
         def flush() -> None:
             nonlocal load
-            cache = self.cache
-            new = list(set(chain.from_iterable(w for _, w in held)).difference(cache))
-            if len(cache) + len(new) > CACHE_WORDS:
-                cache.clear()
-                new = list(set(chain.from_iterable(w for _, w in held)))
-            for i in range(0, len(new), 4096):
-                some = new[i : i + 4096]
-                for word, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                    cache[word] = np.array(e.ids, dtype="<u4").tobytes()
-            for row, words in held:
-                out[row] += b"".join(map(cache.__getitem__, words))
+            gaps: list[list[int]] = []
+            for at, (row, words, _) in enumerate(held):
+                packed = list(map(self.cache.get, words))
+                gaps.append([i for i, x in enumerate(packed) if x is None] if None in packed else [])
+                held[at] = row, words, packed
+            new = {words[i] for (_, words, _), gap in zip(held, gaps, strict=True) for i in gap}
+            if len(self.cache) + len(new) > CACHE_WORDS:
+                self.cache.clear()  # what is needed here is in ``packed`` or new
+            self._learn(new)
+            for (row, words, packed), gap in zip(held, gaps, strict=True):
+                for i in gap:
+                    packed[i] = self.cache[words[i]]
+                out[row] += b"".join(packed)
             held.clear()
             load = 0
 
@@ -108,7 +133,7 @@ class Encoder:
                 out[row] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
                 continue
             for words in self.words(text):
-                held.append((row, words))
+                held.append((row, words, []))
                 load += len(words)
                 if load > 1 << 16:
                     flush()
