@@ -5,9 +5,9 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillon.llm import decontaminate, packing, storage, substring_dedup, suffix_dedup, token_counts, token_files, warc_zip
+from quillon.llm import decontaminate, license_scan, ngram_jaccard, packing, quality_rules, storage, substring_dedup, suffix_dedup, token_counts, token_files, warc_zip
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -28,6 +28,16 @@ def op1_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zip.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files ``source/lang/block/name``; those that open with a notice are licence files."""
+    docs = _read(spark, sf_dir, "documents")
+    opens = F.coalesce(F.substring_index("text", "\n", 1).rlike(license_scan.TRIGGER), F.lit(False))
+    name = F.concat(F.when(opens, "LICENSE-").otherwise(""), F.col("doc_id").cast("string"))
+    block = F.floor(F.col("doc_id") / 1000).cast("string")
+    files = docs.select("doc_id", "text", F.concat_ws("/", "source", "lang", block, name).alias("path"))
+    return license_scan.license_scan(files)
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.substring_dedup(_read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -38,11 +48,20 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.near_duplicates(_read(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack(_read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules.quality_rules(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -62,9 +81,12 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc_zip": op1_warc_zip,
+        "op2_license_scan": op2_license_scan,
         "op3_substring_dedup": op3_substring_dedup,
         "op4_token_counts": op4_token_counts,
+        "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
         "op6_packing": op6_packing,
+        "op7_quality_rules": op7_quality_rules,
         "op8_decontamination": op8_decontamination,
         "op9_token_files": op9_token_files,
         "op10_suffix_array_dedup": op10_suffix_array_dedup,
