@@ -183,11 +183,11 @@ def candidate_edges(key: np.ndarray, node: np.ndarray, sketch: np.ndarray, prune
     return names[moved], names[label[moved]]
 
 
-def verified(rows: np.ndarray, grams: np.ndarray, n: int, side: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def verified(rows: np.ndarray, grams: np.ndarray, n: int, side: np.ndarray, cross: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """All pairs (i < j) of n sets whose Jaccard similarity reaches the threshold.
 
-    ``side`` is the block of each set: where there are two, only pairs across
-    them are judged. Sets are bit rows over the shingles that two share.
+    ``side`` is the block of each set; with ``cross`` only pairs across two
+    blocks are judged. Sets are bit rows over the shingles that two share.
     """
     size = np.bincount(rows, minlength=n)
     _, column, count = np.unique(grams, return_inverse=True, return_counts=True)
@@ -205,7 +205,6 @@ def verified(rows: np.ndarray, grams: np.ndarray, n: int, side: np.ndarray, thre
     bits = bits.reshape(n, words)
     by_size = np.argsort(size, kind="stable")
     bits, own, part = bits[by_size], size[by_size], side[by_size]
-    two = part.min(initial=0) != part.max(initial=0)
     a_out, b_out = [], []
     for i in range(n - 1):
         end = int(np.searchsorted(own, own[i] / threshold + 1e-9, "right"))
@@ -213,7 +212,7 @@ def verified(rows: np.ndarray, grams: np.ndarray, n: int, side: np.ndarray, thre
             to = min(end, j + step)
             both = np.bitwise_count(bits[i] & bits[j:to]).sum(axis=1, dtype=np.int64)
             hit = both * (1 + threshold) >= threshold * (own[i] + own[j:to]) - 1e-9
-            if two:
+            if cross:
                 hit &= part[j:to] != part[i]
             k = np.flatnonzero(hit) + j
             if len(k):
@@ -269,7 +268,7 @@ def _profile(docs: DataFrame) -> DataFrame:
 
     def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         band = np.arange(BANDS, dtype=K.U64) * K.U64(0xA0761D6478BD642F)
-        for batch in batches:
+        for batch in (b.slice(a, 1000) for b in batches for a in range(0, b.num_rows, 1000)):
             data, offs = normal_text(batch.column("text"))
             for i, j in K.slices(offs):
                 rows, grams = shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
@@ -339,7 +338,7 @@ def _links(docs: DataFrame, sets: DataFrame, groups: DataFrame, threshold: float
             linked, root = np.zeros(len(node), np.int64), np.arange(len(node))
             for g, (x, y) in enumerate(zip(border, np.append(border[1:], len(node)), strict=True)):
                 own = slice(edge[g], edge[g + 1])
-                a, b = verified(rows[own] - x, grams[own], int(y - x), side[x:y], threshold)
+                a, b = verified(rows[own] - x, grams[own], int(y - x), side[x:y], bool(lo[x] != hi[x]), threshold)
                 np.add.at(linked, a + x, copies[b + x])
                 np.add.at(linked, b + x, copies[a + x])
                 root[x:y] = forest(int(y - x), a, b) + x
@@ -357,8 +356,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
     """
     ship(docs.sparkSession)
     rows = repeats.keyed(docs)
-    profile = _profile(rows)
-    members = materialise(profile.drop("bits0", "bits1", "bands"), "members")
+    profile = materialise(_profile(rows), "profile")
+    members = profile.drop("bits0", "bits1", "bands")
     seen = profile.filter("node IS NOT NULL").groupBy("node", "check")
     sets = seen.agg(
         F.count(F.lit(1)).alias("copies"), F.min("row_key").alias("row_key"), F.first("bits0").alias("bits0"), F.first("bits1").alias("bits1"), F.first("bands").alias("bands")

@@ -24,9 +24,9 @@ RUNS = "anchor long, run long, row_key long, doc_id long, start int, n int"
 _RUN_NAMES = ["anchor", "run", "row_key", "doc_id", "start", "n"]
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and the key of the row."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+def keyed(docs: DataFrame, *also: str) -> DataFrame:
+    """doc_id, text and the key of the row (and the columns ``also``)."""
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), *also)
     return d.withColumn("row_key", F.xxhash64("doc_id", "text"))
 
 

@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from quillon.llm import kernels as K, repeats
 from quillon.llm.storage import materialise, ship
@@ -123,19 +124,22 @@ def mask_of(count: int, moffs: np.ndarray, row: int, marks: dict, threshold: int
     return K.covered(count, np.concatenate(starts), np.concatenate(ends))
 
 
-def substring_dedup(docs: DataFrame, threshold: int = THRESHOLD, k: int = _K) -> DataFrame:
+def substring_dedup(docs: DataFrame, threshold: int = THRESHOLD, k: int = _K, pass_through: tuple[str, ...] = ()) -> DataFrame:
     """Remove repeated spans of at least ``threshold`` words.
 
     Returns one row for each row of ``docs``: doc_id, n_words, n_removed,
     kept_sha256 (of the kept words joined by one space) and kept_text (the
     text as it was if nothing goes; else what stands from each kept word to
     the next unit kept in place, so line breaks survive; null stays null).
+    Columns named in ``pass_through`` come along unchanged.
     """
     ship(docs.sparkSession)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = repeats.keyed(docs).repartition(parts, "row_key")
+    rows = repeats.keyed(docs, *pass_through).repartition(parts, "row_key")
     spans = repeat_spans(repeats.keyed(docs), threshold, k)
-    both = rows.join(spans, "row_key", "left").select("doc_id", "text", "marks")
+    both = rows.join(spans, "row_key", "left").select("doc_id", "text", "marks", *pass_through)
+    also = [rows.schema[c] for c in pass_through]
+    schema = StructType([*StructType.fromDDL(f"doc_id long, {_RESULT}").fields, *also])
 
     def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,11 +161,11 @@ def substring_dedup(docs: DataFrame, threshold: int = THRESHOLD, k: int = _K) ->
                 else:
                     kept.append(_kept(raw, starts, ends, ~gone, f, g).decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.string())],
-                names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"],
+                [batch.column("doc_id"), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.string())] + [batch.column(c) for c in pass_through],
+                names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", *pass_through],
             )
 
-    return both.mapInArrow(op, f"doc_id long, {_RESULT}")
+    return both.mapInArrow(op, schema)
 
 
 def _kept(raw: bytes, starts: np.ndarray, ends: np.ndarray, keep: np.ndarray, f: int, g: int) -> bytes:
