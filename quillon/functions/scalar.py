@@ -114,8 +114,9 @@ def divide(a: Column, b: Column, scale_a: int, scale_b: int) -> Column:
     x = (whole(a, scale_a) * F.lit(10**6).cast("decimal(7,0)")).cast("decimal(38,0)")
     y = whole(b, scale_b)
     scale = max(scale_a + 6 - scale_b, 0)
-    quotient = ((x - x % y) / y).cast("decimal(38,0)")
-    return _fail(y == 0, "division by zero", (quotient * F.lit(f"1e-{scale}").cast(f"decimal({scale + 1},{scale})")).cast(f"decimal(38,{scale})"))
+    quotient = ((x - x % y) / y).cast(f"decimal({36 - scale},0)")
+    unit = F.lit(f"1e-{scale}").cast(f"decimal({scale + 1},{scale})")  # widths that Spark multiplies exactly
+    return _fail(y == 0, "division by zero", (quotient * unit).cast(f"decimal(38,{scale})"))
 
 
 def float_divide(a: Column, b: Column) -> Column:
@@ -170,14 +171,10 @@ def date_add(ts: Column, n: Column | int, unit: str) -> Column:
         months = n * 12 if unit == "year" else n
         first = F.add_months(F.trunc(ts, "month"), months.cast("int"))
         day = F.date_add(first, F.dayofmonth(ts) - 1)
-        return day.cast(_zone(ts)) + (ts - F.date_trunc("day", ts))
+        return day.cast("timestamp") + (ts - F.date_trunc("day", ts))
     return ts + n * F.expr(f"INTERVAL '1' {unit}")
 
 
-def _zone(ts: Column) -> str:
-    return "timestamp"
-
-
 def add_interval(ts: Column, months: int = 0, days: int = 0, micros: int = 0) -> Column:
     """Months are clamped to the end of the month, then days, then time."""
     return ts + F.make_interval(months=F.lit(months), days=F.lit(days), secs=F.lit(micros).cast("decimal(18,6)") / 1000000)

@@ -27,9 +27,12 @@ _ALTERNATIVES = {porter2.stem(w): sorted({porter2.stem(x) for x in group}) for g
 _TERM = re.compile(r"[^\W_]+(?:'+[^\W_]+)*|[^\W_]+")
 
 
-@F.pandas_udf("array<string>")
-def _english(tokens: pd.Series) -> pd.Series:
-    return tokens.map(lambda t: None if t is None else [porter2.stem(x) for x in t if x not in STOP_WORDS])
+def _english(column: Column) -> Column:
+    @F.pandas_udf("array<string>")
+    def run(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda t: None if t is None else [porter2.stem(x) for x in t if x not in STOP_WORDS])
+
+    return run(column)
 
 
 def tokens(text: Column, analyzer: str = "simple") -> Column:

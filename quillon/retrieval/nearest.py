@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quillon.functions import vectors
 
@@ -128,7 +129,7 @@ def ivf_pq_search(ivf: IVF, quantiser: ProductQuantiser, target, k: int, probes:
     lists = np.argsort(((ivf.centres - t) ** 2).sum(axis=1), kind="stable")[:probes].tolist()
     table, column = quantiser.table(t), ivf.column
     rows = ivf.rows.filter(F.col("_list").isin(*lists))
-    schema = rows.schema.add("_approx", "double")
+    schema = StructType([*rows.schema.fields, StructField("_approx", DoubleType())])
 
     def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -44,11 +44,6 @@ class Index:
         return self.tokens.select(F.explode(every).alias("term")).distinct()
 
 
-@F.pandas_udf("boolean")
-def _close(term: pd.Series, other: pd.Series, most: pd.Series) -> pd.Series:
-    return pd.Series([analyze.osa(a, b, int(m)) for a, b, m in zip(term, other, most, strict=True)])
-
-
 def _expand(index: Index, query: Query, typos: bool) -> None:
     """Fill the alternatives of prefix, fuzzy and misspelt slots in place."""
     slots = {id(s): s for s in query.groups}.values()
@@ -71,8 +66,12 @@ def _expand(index: Index, query: Query, typos: bool) -> None:
 
 
 def _near(index: Index, term: str, most: int) -> list[str]:
+    @F.pandas_udf("boolean")
+    def close(words: pd.Series) -> pd.Series:
+        return words.map(lambda w: analyze.osa(w, term, most)).astype(bool)
+
     near = index.vocabulary().filter(F.abs(F.char_length("term") - len(term)) <= most)
-    near = near.filter(_close(F.col("term"), F.lit(term), F.lit(most)))
+    near = near.filter(close(F.col("term")))
     found = [r.term for r in near.orderBy("term").limit(MAX_FUZZY + 1).collect()]
     if len(found) > MAX_FUZZY:
         raise ValueError("a fuzzy term has too many matches")

@@ -1,0 +1,39 @@
+"""SUBSCRIBE: committed changes of a table as an ordered stream.
+
+Changes are files of an append-only folder, one file for each committed
+transaction, so a reader never sees part of one. Order is by commit and then
+by change; a resume token is the last commit that was read.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+CHANGE = "commit_lsn long, change_lsn long, table_name string, operation string, pk string, before string, after string"
+
+
+def commit(changes: DataFrame, uri: str) -> None:
+    """Append the changes of one transaction as one file."""
+    changes.coalesce(1).write.mode("append").parquet(uri)
+
+
+def subscribe(spark: SparkSession, uri: str, table: str, operation: str | None = None, after: int | None = None, files_per_batch: int | None = None) -> DataFrame:
+    """A streaming DataFrame of a table's changes, strictly after a commit."""
+    reader = spark.readStream.schema(CHANGE)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    out = reader.parquet(uri).filter(F.col("table_name") == table)
+    if operation is not None:
+        out = out.filter(F.col("operation") == operation)
+    return out if after is None else out.filter(F.col("commit_lsn") > after)
+
+
+def drain(changes: DataFrame, checkpoint: str, sink: Callable[[DataFrame], None]) -> None:
+    """Read all there is, hand each batch over in commit order, remember the place."""
+
+    def batch(df: DataFrame, _: int) -> None:
+        sink(df.orderBy("commit_lsn", "change_lsn"))
+
+    changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
