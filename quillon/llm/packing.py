@@ -194,35 +194,23 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID,
     ranged = materialise(ranged, "ranked")
     before = Window.partitionBy("class").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = ranged.groupBy("class", "part").agg(F.count(F.lit(1)).alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    by_part = base.groupBy("part").agg(F.collect_list(F.struct("class", "base")).alias("bases"))
-    rows = ranged.join(by_part, "part").repartition(parts, "part").sortWithinPartitions("part", *order)
+    local = Window.partitionBy("part", "class").orderBy(*order)
+    rows = ranged.join(base, ["class", "part"]).withColumn("rank", F.row_number().over(local) - 1 + F.col("base"))
 
     def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[int, int], int] = {}
         for batch in batches:
-            part, kind = batch.column("part").to_numpy(), batch.column("class").to_numpy()
-            sequence, slot = np.zeros(len(kind), np.int64), np.zeros(len(kind), np.int64)
-            for p in np.unique(part).tolist():
-                mine = np.flatnonzero(part == p)
-                if (p, -1) not in seen:
-                    seen[p, -1] = 0
-                    for b in batch.column("bases")[int(mine[0])].as_py():
-                        seen[p, b["class"]] = b["base"]
-                for c in np.unique(kind[mine]).tolist():
-                    at = mine[kind[mine] == c]
-                    rank = seen[p, c] + np.arange(len(at))
-                    seen[p, c] += len(at)
-                    if not c:
-                        sequence[at] = mixed + rank
-                        continue
-                    ends, each, first = table[c - 1]
-                    j = np.searchsorted(ends, rank, "right")
-                    inside = rank - (ends[j - 1] * (j > 0) if len(ends) else 0)
-                    sequence[at] = first[j] + inside // each[j]
-                    slot[at] = (capacity - c) * (length + 1) + inside % each[j]
+            kind, ranks = batch.column("class").to_numpy(), batch.column("rank").to_numpy()
+            sequence, slot = mixed + ranks, np.zeros(len(kind), np.int64)
+            for c in np.unique(kind[kind > 0]).tolist():
+                at = np.flatnonzero(kind == c)
+                ends, each, first = table[c - 1]
+                j = np.searchsorted(ends, ranks[at], "right")
+                inside = ranks[at] - np.where(j > 0, ends[j - 1], 0)
+                sequence[at] = first[j] + inside // each[j]
+                slot[at] = (capacity - c) * (length + 1) + inside % each[j]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in order] + [pa.array(sequence), pa.array(slot)], names=[*order, "sequence_id", "slot"])
 
-    dealt = rows.select("part", "class", "bases", *order).mapInArrow(op, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, slot long")
+    dealt = rows.select("class", "rank", *order).mapInArrow(op, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, slot long")
     one = Window.partitionBy("sequence_id")
     ahead = one.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     total = F.sum("length").over(one)

@@ -28,7 +28,7 @@ _WORD_LEVEL = re.compile(f"{_ENDINGS}|[{_LETTER}]+|[{_NUMBER}]|[^\\s{_LETTER}{_N
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 #: Distinct pre-tokens kept for each worker process before the cache starts anew.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 _SEGMENT = 1 << 18
 _LOADED: dict[str, Encoder] = {}
 
