@@ -332,7 +332,8 @@ def _links(docs: DataFrame, sets: DataFrame, groups: DataFrame, threshold: float
                 group, lo, hi, node = (t[c].to_numpy() for c in (*keys, "node"))
             border = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]))
             data, offs = normal_text(t["text"].combine_chunks())
-            rows, grams = shingle_sets(data, offs)
+            sets = [(i, shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])) for i, j in K.slices(offs)]
+            rows, grams = np.concatenate([i + r for i, (r, _) in sets]), np.concatenate([g for _, (_, g) in sets])
             edge = np.searchsorted(rows, np.append(border, len(node)))
             copies, side = t["copies"].to_numpy(), t["side"].to_numpy()
             linked, root = np.zeros(len(node), np.int64), np.arange(len(node))

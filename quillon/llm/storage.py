@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 _WORKSPACES: dict[str, str] = {}
 _SHIPPED: set[str] = set()
+#: Arrow settings, Spark's default and the value for batches of texts.
+_BATCHES = (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864", "16777216"))
 
 
 def workspace(spark: SparkSession) -> str:
@@ -86,11 +88,17 @@ def publish(uri: str, write) -> int:
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable on the executors.
+    """Get a session ready: small Arrow batches, and this package on the executors.
+
+    Batches of whole texts at Spark's default size take hundreds of megabytes
+    on both sides of each Python worker; values set by the user stay.
 
     Where the package is installed or on PYTHONPATH nothing is needed; else
     it is sent once for each application as a zip file.
     """
+    for key, default, small in _BATCHES:
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, small)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
