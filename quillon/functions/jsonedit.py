@@ -12,24 +12,16 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 
 
-class _Number(float):
-    """A number that is written as it was read."""
-
-    def __new__(cls, text: str):
-        out = super().__new__(cls, text)
-        out.text = text
-        return out
-
-    def __repr__(self) -> str:
-        return self.text
-
-
 def _parse(text: str):
-    return json.loads(text, parse_float=_Number, parse_int=int)
+    return json.loads(text, parse_float=Decimal)
 
 
 def _write(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{_write(value[k])}" for k in sorted(value)) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(map(_write, value)) + "]"
+    return str(value) if isinstance(value, Decimal) else json.dumps(value, ensure_ascii=False)
 
 
 def _steps(path: str) -> list[str]:
@@ -74,8 +66,8 @@ def _holds(doc, target) -> bool:
         return isinstance(doc, list) and all(any(_holds(d, x) for d in doc) for x in target)
     if isinstance(doc, bool) or isinstance(target, bool):
         return doc is target
-    if isinstance(doc, int | float) and isinstance(target, int | float):
-        return Decimal(repr(doc)) == Decimal(repr(target))
+    if isinstance(doc, int | Decimal) and isinstance(target, int | Decimal):
+        return doc == target
     return type(doc) is type(target) and doc == target
 
 

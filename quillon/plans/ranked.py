@@ -125,7 +125,7 @@ def nearest_filtered(t: Tables):
 def ivf_recall(t: Tables):
     exact = {r.vec_id for r in N.nearest(t.embeddings, "embedding", _target(t), ("vec_id",), "cosine", 10).collect()}
     ivf = N.IVF.build(t.embeddings, "embedding", ("vec_id",), lists=8)
-    got = {r.vec_id for r in ivf.search(_target(t), 10, probes=4).collect()}
+    got = {r.vec_id for r in ivf.search(_target(t), 10, probes=6).collect()}
     return t.spark.createDataFrame([(len(exact & got) >= 7,)], "ok boolean")
 
 

@@ -24,7 +24,6 @@ SYNONYMS = (
 )
 
 _ALTERNATIVES = {porter2.stem(w): sorted({porter2.stem(x) for x in group}) for group in SYNONYMS for w in group}
-_TERM = re.compile(r"[^\W_]+(?:'+[^\W_]+)*|[^\W_]+")
 
 
 def _english(column: Column) -> Column:
@@ -42,9 +41,8 @@ def tokens(text: Column, analyzer: str = "simple") -> Column:
     fall away; terms of over 128 characters are dropped. ``simple`` stays
     native; ``english`` drops stop words and stems in Arrow batches.
     """
-    raw = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{Nd}']+"), F.lit(0))
-    trimmed = F.transform(raw, lambda t: F.regexp_replace(t, "^'+|'+$", ""))
-    out = F.slice(F.filter(trimmed, lambda t: (t != "") & (F.char_length(t) <= MAX_TERM)), 1, MAX_TOKENS)
+    raw = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{Nd}](?:[\p{L}\p{Nd}']*[\p{L}\p{Nd}])?"), F.lit(0))
+    out = F.slice(F.filter(raw, lambda t: F.char_length(t) <= MAX_TERM), 1, MAX_TOKENS)
     if analyzer == "simple":
         return out
     if analyzer == "english":

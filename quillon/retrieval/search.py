@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 from functools import reduce
+from itertools import product
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -31,17 +32,21 @@ class Index:
     pk: tuple[str, ...]
     analyzer: str = "simple"
 
-    @property
-    def tokens(self) -> DataFrame:
-        df = self.rows
-        for i, f in enumerate(self.fields):
-            df = df.withColumn(f"_t{i}", F.coalesce(analyze.tokens(F.col(f), self.analyzer), F.array().cast("array<string>")))
-        length = reduce(lambda a, b: a + b, (F.size(f"_t{i}") for i in range(len(self.fields))))
-        return df.withColumn("_len", length)
+    def terms(self) -> Column:
+        """One array of terms for each field."""
+        empty = F.array().cast("array<string>")
+        return F.array(*(F.coalesce(analyze.tokens(F.col(f), self.analyzer), empty) for f in self.fields))
+
+    def measured(self, body) -> DataFrame:
+        """The rows with ``_m``, what ``body`` makes of the fields' terms.
+
+        The terms are bound by a lambda, so a row is analysed once however
+        often ``body`` uses them.
+        """
+        return self.rows.withColumn("_m", F.get(F.transform(F.array(self.terms()), body), F.lit(0)))
 
     def vocabulary(self) -> DataFrame:
-        every = F.flatten(F.array(*(F.array_distinct(f"_t{i}") for i in range(len(self.fields)))))
-        return self.tokens.select(F.explode(every).alias("term")).distinct()
+        return self.rows.select(F.explode(F.array_distinct(F.flatten(self.terms()))).alias("term")).distinct()
 
 
 def _expand(index: Index, query: Query, typos: bool) -> None:
@@ -78,29 +83,19 @@ def _near(index: Index, term: str, most: int) -> list[str]:
     return found
 
 
-def _count(field: int, term: str) -> Column:
-    return F.size(F.filter(F.col(f"_t{field}"), lambda x: x == term))
-
-
-def _has(index: Index, terms: list[str]) -> Column:
-    if not terms:
-        return F.lit(False)
-    wanted = F.array(*(F.lit(t) for t in terms))
-    return reduce(lambda a, b: a | b, (F.arrays_overlap(F.col(f"_t{i}"), wanted) for i in range(len(index.fields))))
-
-
-def _phrase(index: Index, slots: list[Slot]) -> Column:
-    """The slots' terms stand side by side in one field."""
+def _count(terms: Column, term: str) -> Column:
+    return F.size(terms) - F.size(F.array_remove(terms, F.lit(term)))
 
-    def in_field(i: int) -> Column:
-        t = F.col(f"_t{i}")
-        fits = lambda at, k: F.get(t, at + k).isin(*slots[k].terms) if slots[k].terms else F.lit(False)
-        return (F.size(t) >= len(slots)) & F.exists(
-            F.when(F.size(t) > 0, F.sequence(F.lit(0), F.size(t) - 1)).otherwise(F.array().cast("array<int>")),
-            lambda at: F.coalesce(reduce(lambda a, b: a & b, (fits(at, k) for k in range(len(slots)))), F.lit(False)),
-        )
 
-    return reduce(lambda a, b: a | b, (in_field(i) for i in range(len(index.fields))))
+def _phrase(terms: Column, slots: list[Slot]) -> Column:
+    """The slots' terms stand side by side in a field."""
+    ways = math.prod(len(s.terms) for s in slots)
+    if ways <= 64:
+        flat = F.concat(F.lit(" "), F.array_join(terms, " "), F.lit(" "))
+        return reduce(lambda a, b: a | b, (F.contains(flat, F.lit(f" {' '.join(x)} ")) for x in product(*(s.terms for s in slots))))
+    fits = lambda at, k: F.coalesce(F.get(terms, at + k).isin(*slots[k].terms), F.lit(False))
+    places = F.when(F.size(terms) > 0, F.sequence(F.lit(0), F.size(terms) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.exists(places, lambda at: reduce(lambda a, b: a & b, (fits(at, k) for k in range(len(slots)))))
 
 
 def matched(index: Index, text: str, weights: dict[str, float] | None = None, typos: bool = True) -> DataFrame:
@@ -114,22 +109,38 @@ def matched(index: Index, text: str, weights: dict[str, float] | None = None, ty
         return index.rows.withColumn("_score", F.lit(0.0)).limit(0)
     weight = [float((weights or {}).get(f, 1.0)) for f in index.fields]
     terms = sorted({t for s in query.groups for t in s.terms})
-    tokens = index.tokens
-    stats = tokens.agg(
-        F.count_if(F.col("_len") > 0).alias("n"), F.sum("_len").alias("total"), *(F.count_if(_has(index, [t])).alias(f"df{k}") for k, t in enumerate(terms))
-    ).first()
+    number = {t: k for k, t in enumerate(terms)}
+    every = range(len(index.fields))
+
+    def measure(fields: Column) -> Column:
+        field = [F.get(fields, F.lit(i)) for i in every]
+        length = reduce(lambda a, b: a + b, (F.size(f) for f in field))
+        found = {t: reduce(lambda a, b: a + b, (_count(f, t) for f in field)) for t in terms}
+        scaled = {t: reduce(lambda a, b: a + b, (_count(f, t) * w for f, w in zip(field, weight, strict=True))) for t in terms}
+        keep = [reduce(lambda a, b: a | b, (found[t] > 0 for t in s.terms)) for s in query.groups]
+        keep += [reduce(lambda a, b: a | b, (_phrase(f, p) for f in field)) for p in query.phrases]
+        parts = [x for t, k in number.items() for x in (scaled[t].cast("double").alias(f"tf{k}"), (found[t] > 0).alias(f"has{k}"))]
+        return F.struct(length.alias("length"), reduce(lambda a, b: a & b, keep).alias("keep"), *parts)
+
+    measured = index.measured(measure)
+    counted = measured.select("_m.*")
+    stats = counted.agg(F.count_if(F.col("length") > 0).alias("n"), F.sum("length").alias("total"), *(F.count_if(f"has{k}").alias(f"df{k}") for k in number.values())).first()
     n, mean = stats["n"], (stats["total"] or 0) / stats["n"] if stats["n"] else 1.0
-    idf = {t: math.log(1 + (n - stats[f"df{k}"] + 0.5) / (stats[f"df{k}"] + 0.5)) for k, t in enumerate(terms)}
-    keep = reduce(lambda a, b: a & b, [_has(index, s.terms) for s in query.groups] + [_phrase(index, p) for p in query.phrases])
-    long = K1 * (1 - B + B * F.col("_len") / mean)
+    idf = {t: math.log(1 + (n - stats[f"df{k}"] + 0.5) / (stats[f"df{k}"] + 0.5)) for t, k in number.items()}
+    long = K1 * (1 - B + B * F.col("_m.length") / mean)
 
     def score(t: str) -> Column:
-        tf = reduce(lambda a, b: a + b, (_count(i, t) * w for i, w in enumerate(weight)))
+        tf = F.col(f"_m.tf{number[t]}")
         return idf[t] * tf * (K1 + 1) / (tf + long)
 
     best = [F.greatest(*(score(t) for t in s.terms)) if len(s.terms) > 1 else score(s.terms[0]) for s in query.groups]
-    out = tokens.filter(keep).withColumn("_score", reduce(lambda a, b: a + b, best))
-    return out.drop("_len", *(f"_t{i}" for i in range(len(index.fields))))
+    if index.analyzer == "simple":  # a term of a text is a part of the text: most rows need no analysis
+        lowered = [F.lower(F.col(f)) for f in index.fields]
+        cheap = [reduce(lambda a, b: a | b, (F.coalesce(F.contains(x, F.lit(t)), F.lit(False)) for x in lowered for t in s.terms)) for s in query.groups if len(s.terms) <= 16]
+        if cheap:
+            rows = index.rows.filter(reduce(lambda a, b: a & b, cheap))
+            measured = Index(rows, index.fields, index.pk, index.analyzer).measured(measure)
+    return measured.filter("_m.keep").withColumn("_score", reduce(lambda a, b: a + b, best)).drop("_m")
 
 
 def search(index: Index, text: str, k: int | None = None, offset: int = 0, where: Column | None = None, weights: dict[str, float] | None = None, typos: bool = True) -> DataFrame:
