@@ -56,7 +56,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 2048 tokens."""
-    out = packing.pack(docs, vocabulary("byte_bpe_50k.json"))
+    out = packing.pack(docs, vocabulary("byte_bpe_50k.json"), cache_words=150_000)  # workers outlive this stage
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 

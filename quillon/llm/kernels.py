@@ -82,7 +82,7 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
-def slices(offs: np.ndarray, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def slices(offs: np.ndarray, size: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of whole documents of about ``size`` bytes (one, if longer)."""
     i, n = 0, len(offs) - 1
     while i < n:

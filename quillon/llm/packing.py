@@ -41,7 +41,7 @@ END_ID = 1
 _PIECES = "part int, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class int"
 
 
-def pieces(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID, grain: int = GRAIN) -> DataFrame:
+def pieces(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID, grain: int = GRAIN, cache_words: int | None = None) -> DataFrame:
     """Pieces of at most ``length`` ids of every document: ``_PIECES``.
 
     ``class`` is 0 for a full piece, else its length in grains, rounded up.
@@ -55,7 +55,7 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_I
             out: list[list[int]] = [[] for _ in range(6)]
             for a in range(0, batch.num_rows, 256):
                 texts = batch.column("text").slice(a, 256).to_pylist()
-                for doc_id, packed in zip(ids[a : a + 256], encoder.encode(texts), strict=True):
+                for doc_id, packed in zip(ids[a : a + 256], encoder.encode(texts, cache_words), strict=True):
                     packed += end
                     total = len(packed) // 4
                     for s in range(0, total, length):
@@ -170,17 +170,18 @@ def places(patterns: np.ndarray, use: np.ndarray) -> list[tuple[np.ndarray, np.n
     return out
 
 
-def pack(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID, grain: int = GRAIN) -> DataFrame:
+def pack(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID, grain: int = GRAIN, cache_words: int | None = None) -> DataFrame:
     """Assign all pieces of all documents to sequences.
 
     Returns one row for each piece: doc_id, start, length, ids_crc32,
     doc_tokens, sequence_id, offset, padding (of its sequence).
+    ``cache_words`` bounds the word cache of a worker (time against memory).
     """
     if length % grain:
         raise ValueError("the grain must divide the sequence length")
     ship(docs.sparkSession)
     spark = docs.sparkSession
-    cut = materialise(pieces(docs, path, length, end_id, grain), "pieces")
+    cut = materialise(pieces(docs, path, length, end_id, grain, cache_words), "pieces")
     capacity = length // grain
     counts = {r["class"]: r["n"] for r in cut.groupBy("class").agg(F.count(F.lit(1)).alias("n")).collect()}
     demand = np.array([counts.get(c, 0) for c in range(1, capacity + 1)], np.int64)

@@ -102,8 +102,9 @@ class Encoder:
         for i in range(0, len(rest), 4096):
             self.cache.update(zip(rest[i : i + 4096], self._alone(rest[i : i + 4096]), strict=True))
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def encode(self, texts: list[str | None], cache_words: int | None = None) -> list[bytes]:
         """Packed ids of each text (null: none), without special tokens added."""
+        most = CACHE_WORDS if cache_words is None else cache_words
         out: list[bytes] = [b""] * len(texts)
         held: list[tuple[int, list[str], list[bytes]]] = []
         load = 0
@@ -116,7 +117,7 @@ class Encoder:
                 gaps.append([i for i, x in enumerate(packed) if x is None] if None in packed else [])
                 held[at] = row, words, packed
             new = {words[i] for (_, words, _), gap in zip(held, gaps, strict=True) for i in gap}
-            if len(self.cache) + len(new) > CACHE_WORDS:
+            if len(self.cache) + len(new) > most:
                 self.cache.clear()  # what is needed here is in ``packed`` or new
             self._learn(new)
             for (row, words, packed), gap in zip(held, gaps, strict=True):
