@@ -45,6 +45,10 @@ STATEMENTS = {
         "SELECT n_nationkey, upper(substring(n_name, 1, 3)) AS head, CAST(length(n_name) AS INTEGER) AS len, coalesce(nullif(n_regionkey, 0), 99) AS r, replace(n_name, 'A', 'a') AS low, greatest(n_nationkey, n_regionkey, 7) AS g, n_nationkey % 4 AS m FROM nation",
     ),
     "sql_json": ("SELECT event_id, JSON_GET(props, 'k') AS k, JSON_TYPE(props, 'k') AS t FROM events WHERE event_type = 'click'", "SELECT event_id, props ->> '$.k' AS k, 'number' AS t FROM events WHERE event_type = 'click'"),
+    "sql_spatial": (
+        "SELECT n_nationkey, ST_AREA(g) AS area, ST_CONTAINS(g, ST_POINT(5, 1)) AS has, ST_NPOINTS(g) AS n, ST_ASTEXT(ST_CENTROID(g)) AS mid, ST_DISTANCE(g, ST_POINT(100, 0)) AS far FROM (SELECT n_nationkey, ST_GEOMFROMTEXT(CONCAT('POLYGON((0 0,', n_nationkey + 2, ' 0,', n_nationkey + 2, ' 2,0 2,0 0))')) AS g FROM nation) p",
+        "SELECT n_nationkey, (n_nationkey + 2) * 2.0::DOUBLE AS area, n_nationkey + 2 > 5 AS has, CAST(5 AS BIGINT) AS n, 'POINT(' || CASE WHEN n_nationkey % 2 = 0 THEN CAST((n_nationkey + 2) // 2 AS VARCHAR) ELSE CAST((n_nationkey + 2) / 2.0 AS VARCHAR) END || ' 1)' AS mid, 98.0::DOUBLE - n_nationkey AS far FROM nation",
+    ),
     "sql_search_facet": (
         "SELECT * FROM documents SEARCH text FOR 'licensed' FACET lang",
         "SELECT 'lang' AS facet, lang AS value, count(*) AS count FROM documents WHERE list_contains(regexp_extract_all(lower(text), '[\\p{L}\\p{Nd}'']+'), 'licensed') GROUP BY lang",
