@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import Window, functions as F
 
-from quillon.functions import scalar as S
+from quillon.functions import scalar as S, vectors as V
 from quillon.plans.registry import Tables, query
 from quillon.retrieval import hybrid, nearest as N, search as X
 from quillon.streaming import subscribe as C
@@ -148,22 +148,16 @@ def sparse_nearest(t: Tables):
     return N.sparse_nearest(rows, "s", {2: 2.0, 9: -1.0}, ("vec_id",), 12).select("vec_id", F.round(-F.col("_distance"), 5).alias("ip"))
 
 
-def _channels(t: Tables):
-    n = t.embeddings.count()
-    docs = t.documents.withColumn("vec_id", F.col("doc_id") % n)
-    hits = X.matched(X.Index(docs, ("text",), ("doc_id",)), "the with", typos=False)
-    both = hits.join(t.embeddings, "vec_id")
-    target = _target(t)
-    near = N.nearest(both, "embedding", target, ("doc_id",), "l2")
-    return [hybrid.ranks(both, [F.col("_score").desc()], ("doc_id",), None), hybrid.ranks(near, ["_distance"], ("doc_id",), None)]
-
-
 @query(f"""{_TOKENS}, e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), q AS (SELECT v AS q FROM e WHERE vec_id = 7),
 h AS (SELECT doc_id, {_bm25('the')} + {_bm25('with')} AS score FROM d, s WHERE list_contains(w, 'the') AND list_contains(w, 'with')),
 r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS a, row_number() OVER (ORDER BY list_distance(v, q), doc_id) AS b FROM h JOIN e ON vec_id = doc_id % (SELECT count(*) FROM e), q)
 SELECT doc_id, round(1.0 / (60 + a) + 1.0 / (60 + b), 6) AS score FROM r ORDER BY 1.0 / (60 + a) + 1.0 / (60 + b) DESC, doc_id LIMIT 10""")
 def hybrid_rrf(t: Tables):
-    return hybrid.fuse(_channels(t), ("doc_id",), 10, required=0).select("doc_id", F.round("_score", 6).alias("score"))
+    n = t.embeddings.count()
+    docs = t.documents.select("doc_id", "text", (F.col("doc_id") % n).alias("vec_id"))
+    both = X.matched(X.Index(docs, ("text",), ("doc_id",)), "the with", typos=False).join(t.embeddings, "vec_id")
+    far = V.distance("l2", F.col("embedding"), V.literal(_target(t)))
+    return hybrid.fuse_scored(both, ("doc_id",), [-F.col("_score"), far], 10).select("doc_id", F.round("_score", 6).alias("score"))
 
 
 @query(f"""{_TOKENS}, h AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM (SELECT doc_id, {_bm25('license')} AS score FROM d, s WHERE list_contains(w, 'license')))

@@ -34,6 +34,10 @@ def _english(column: Column) -> Column:
     return run(column)
 
 
+#: ASCII first and possessive: most characters are decided by one comparison.
+_TERMS = r"[a-z0-9\p{L}\p{Nd}]++(?:'++[a-z0-9\p{L}\p{Nd}]++)*+"
+
+
 def tokens(text: Column, analyzer: str = "simple") -> Column:
     """Terms of a text in order (an array; null for a null text).
 
@@ -41,7 +45,7 @@ def tokens(text: Column, analyzer: str = "simple") -> Column:
     fall away; terms of over 128 characters are dropped. ``simple`` stays
     native; ``english`` drops stop words and stems in Arrow batches.
     """
-    raw = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{Nd}](?:[\p{L}\p{Nd}']*[\p{L}\p{Nd}])?"), F.lit(0))
+    raw = F.regexp_extract_all(F.lower(text), F.lit(_TERMS), F.lit(0))
     out = F.slice(F.filter(raw, lambda t: F.char_length(t) <= MAX_TERM), 1, MAX_TOKENS)
     if analyzer == "simple":
         return out

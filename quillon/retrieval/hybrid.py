@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 RRF_K = 60
 
@@ -33,3 +33,19 @@ def fuse(channels: list[DataFrame], pk: tuple[str, ...], k: int | None = 10, req
     score = reduce(lambda a, b: a + b, (F.coalesce(1.0 / (RRF_K + F.col(f"_r{i}")), F.lit(0.0)) for i in range(len(channels))))
     out = joined.select(*pk, score.alias("_score")).orderBy(F.col("_score").desc(), *pk)
     return out if k is None else out.limit(k)
+
+
+def fuse_scored(rows: DataFrame, pk: tuple[str, ...], channels: list[Column], k: int | None = 10) -> DataFrame:
+    """``fuse`` of channels that are columns of one table (less is better, null is unranked).
+
+    The rows are made once; only keys and channel values are sorted.
+    """
+    narrow = rows.select(*pk, *(c.cast("double").alias(f"_c{i}") for i, c in enumerate(channels)))
+    parts = []
+    for i in range(len(channels)):
+        rank = F.row_number().over(Window.orderBy(F.col(f"_c{i}").asc_nulls_last(), *pk))
+        parts.append(F.when(F.col(f"_c{i}").isNotNull(), 1.0 / (RRF_K + rank)).otherwise(0.0))
+    ranked = narrow.select(*pk, *(p.alias(f"_p{i}") for i, p in enumerate(parts)))
+    score = reduce(lambda a, b: a + b, (F.col(f"_p{i}") for i in range(len(channels))))
+    out = ranked.select(*pk, score.alias("_score")).filter("_score > 0").orderBy(F.col("_score").desc(), *pk)
+    return out if k is None else out.limit(k)

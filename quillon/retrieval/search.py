@@ -23,6 +23,15 @@ K1, B = 1.2, 0.75
 MAX_PREFIX, MAX_FUZZY, MAX_FACET = 256, 4096, 1024
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Deal out a scan of fewer partitions than there are cores (a small or single-group file).
+
+    Analysis costs far more than moving such a scan; a large one stays as it is.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() * 2 <= cores else rows
+
+
 @dataclass
 class Index:
     """A full-text index: the rows, each field's terms and the primary key."""
@@ -32,18 +41,21 @@ class Index:
     pk: tuple[str, ...]
     analyzer: str = "simple"
 
+    def __post_init__(self) -> None:
+        self.rows = spread(self.rows)
+
     def terms(self) -> Column:
         """One array of terms for each field."""
         empty = F.array().cast("array<string>")
         return F.array(*(F.coalesce(analyze.tokens(F.col(f), self.analyzer), empty) for f in self.fields))
 
-    def measured(self, body) -> DataFrame:
-        """The rows with ``_m``, what ``body`` makes of the fields' terms.
+    def measured(self, body) -> Column:
+        """What ``body`` makes of a row's terms, as an array of one.
 
         The terms are bound by a lambda, so a row is analysed once however
         often ``body`` uses them.
         """
-        return self.rows.withColumn("_m", F.get(F.transform(F.array(self.terms()), body), F.lit(0)))
+        return F.transform(F.array(self.terms()), body)
 
     def vocabulary(self) -> DataFrame:
         return self.rows.select(F.explode(F.array_distinct(F.flatten(self.terms()))).alias("term")).distinct()
@@ -123,7 +135,7 @@ def matched(index: Index, text: str, weights: dict[str, float] | None = None, ty
         return F.struct(length.alias("length"), reduce(lambda a, b: a & b, keep).alias("keep"), *parts)
 
     measured = index.measured(measure)
-    counted = measured.select("_m.*")
+    counted = index.rows.select(F.explode(measured).alias("_m")).select("_m.*")
     stats = counted.agg(F.count_if(F.col("length") > 0).alias("n"), F.sum("length").alias("total"), *(F.count_if(f"has{k}").alias(f"df{k}") for k in number.values())).first()
     n, mean = stats["n"], (stats["total"] or 0) / stats["n"] if stats["n"] else 1.0
     idf = {t: math.log(1 + (n - stats[f"df{k}"] + 0.5) / (stats[f"df{k}"] + 0.5)) for t, k in number.items()}
@@ -134,13 +146,15 @@ def matched(index: Index, text: str, weights: dict[str, float] | None = None, ty
         return idf[t] * tf * (K1 + 1) / (tf + long)
 
     best = [F.greatest(*(score(t) for t in s.terms)) if len(s.terms) > 1 else score(s.terms[0]) for s in query.groups]
+    rows = index.rows
     if index.analyzer == "simple":  # a term of a text is a part of the text: most rows need no analysis
         lowered = [F.lower(F.col(f)) for f in index.fields]
         cheap = [reduce(lambda a, b: a | b, (F.coalesce(F.contains(x, F.lit(t)), F.lit(False)) for x in lowered for t in s.terms)) for s in query.groups if len(s.terms) <= 16]
         if cheap:
-            rows = index.rows.filter(reduce(lambda a, b: a & b, cheap))
-            measured = Index(rows, index.fields, index.pk, index.analyzer).measured(measure)
-    return measured.filter("_m.keep").withColumn("_score", reduce(lambda a, b: a + b, best)).drop("_m")
+            rows = rows.filter(reduce(lambda a, b: a & b, cheap))
+    # exploded, so that the filter on what is measured does not measure again
+    found = rows.withColumn("_m", F.explode(F.filter(measured, lambda m: m["keep"])))
+    return found.withColumn("_score", reduce(lambda a, b: a + b, best)).drop("_m")
 
 
 def search(index: Index, text: str, k: int | None = None, offset: int = 0, where: Column | None = None, weights: dict[str, float] | None = None, typos: bool = True) -> DataFrame:
