@@ -27,7 +27,7 @@ _BYTE_LEVEL = re.compile(f"{_ENDINGS}| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\\s{_LET
 _WORD_LEVEL = re.compile(f"{_ENDINGS}|[{_LETTER}]+|[{_NUMBER}]|[^\\s{_LETTER}{_NUMBER}]+")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
-#: Distinct pre-tokens kept for each worker process before the cache starts anew.
+#: Distinct pre-tokens in each of the two generations of a worker's cache.
 CACHE_WORDS = 500_000
 _SEGMENT = 1 << 18
 _LOADED: dict[str, Encoder] = {}
@@ -68,6 +68,7 @@ class Encoder:
             if split["pattern"] == {"Regex": known} and split["behavior"] == "Removed" and split["invert"] and steps == ["NFC", "Replace", "Lowercase"]:
                 self.pattern, self.lower = _WORD_LEVEL, True
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}  # what the cache held before it last grew full
         sep = "§" if self.lower else "\n"
         mark = self.tokenizer.encode(sep, add_special_tokens=False).ids
         self.parted = (sep, mark[0] if len(mark) == 1 else None)
@@ -118,7 +119,11 @@ class Encoder:
                 held[at] = row, words, packed
             new = {words[i] for (_, words, _), gap in zip(held, gaps, strict=True) for i in gap}
             if len(self.cache) + len(new) > most:
-                self.cache.clear()  # what is needed here is in ``packed`` or new
+                self.cache, self.old = {}, self.cache  # what is needed here is in ``packed`` or new
+            if self.old:
+                known = {w: v for w in new if (v := self.old.get(w)) is not None}
+                self.cache.update(known)
+                new = new.difference(known)
             self._learn(new)
             for (row, words, packed), gap in zip(held, gaps, strict=True):
                 for i in gap:
