@@ -147,7 +147,7 @@ def vec_scalars(t: Tables):
     return t.embeddings.crossJoin(F.broadcast(q)).select("vec_id", *(F.round(f, 6).alias(n) for n, f in fn.items()), V.dimensions(a).alias("dim"))
 
 
-@query("""SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: 1.0 * x * x))) * 3, 4) AS scaled, 0.0 AS zero, round(1.0, 4) AS unit FROM embeddings""")
+@query("""SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: 1.0 * x * x))) * 3, 4) AS scaled, CAST(0 AS DOUBLE) AS zero, CAST(1 AS DOUBLE) AS unit FROM embeddings""")
 def vec_build(t: Tables):
     e = F.col("embedding")
     return t.embeddings.select("vec_id", F.round(V.norm(V.scale(e, 3.0)), 4).alias("scaled"), V.norm(V.subtract(V.add(e, e), V.scale(e, 2.0))).alias("zero"), F.round(V.norm(V.normalize(e)), 4).alias("unit"))
