@@ -32,6 +32,8 @@ from quillon.llm import tokenize
 from quillon.llm.storage import ship
 
 _SPACES = re.compile(r"\s{2,}(?=\S)")
+#: Distinct pre-tokens whose tables a worker process keeps before it starts anew.
+TABLE_WORDS = 1_000_000
 _LONG = 256
 _WHOLE = 1 << 20
 _NEVER = 1 << 60
@@ -54,7 +56,7 @@ class _Tables(dict):
     def __missing__(self, word: str) -> bytes:
         table = self.solve(word)
         if len(word) <= _LONG:
-            if len(self) >= tokenize.CACHE_WORDS:
+            if len(self) >= TABLE_WORDS:
                 self.clear()
             self[word] = table
         return table
@@ -150,7 +152,7 @@ class PrefixCounter:
 
     def learn(self, words: Iterable[str]) -> None:
         """Solve many pre-tokens in sorted order, each from the prefix it shares."""
-        if len(self.tables) + len(words) > tokenize.CACHE_WORDS:
+        if len(self.tables) + len(words) > TABLE_WORDS:
             self.tables.clear()
         before, ids, count = b"", [-1], [0]
         for raw, word in sorted((w.encode("utf-8", "surrogatepass"), w) for w in words):
