@@ -15,7 +15,9 @@ group) go back by a join.
 
 A pair of language and source with fewer than ``MIN_GROUP`` documents takes
 the estimate of its language, a language with fewer that of all documents,
-and fewer than that in all reject nothing. A floor on each variance
+and fewer than that in all reject nothing. Estimates of a language or of all
+documents are fitted on all their documents, those of large pairs too, where
+any pair takes them. A floor on each variance
 (``FLOORS``) keeps a statistic that is constant in the bulk from rejecting
 the first document that differs.
 
@@ -106,18 +108,24 @@ def _vector() -> list[Column]:
 
 
 def _grouped(stats: DataFrame) -> DataFrame:
-    """``grp``: language and source, language, all, or null (too few)."""
+    """``grp`` that judges a pair: language and source, language, all, or null (too few).
+
+    ``fits`` has all groups whose estimate the pair's rows are part of.
+    """
     ok = stats.filter(~F.col("base_failed"))
     pairs = ok.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("pair_n"))
-    langs = pairs.groupBy("lang").agg(F.sum("pair_n").alias("lang_n"))
-    total = langs.agg(F.sum("lang_n").alias("all_n"))
+    langs = pairs.groupBy("lang").agg(F.sum("pair_n").alias("lang_n"), F.min("pair_n").alias("least_pair"))
+    total = langs.agg(F.sum("lang_n").alias("all_n"), F.min("lang_n").alias("least_lang"))
     level = pairs.join(langs, "lang").crossJoin(F.broadcast(total))  # one row
-    name = (
-        F.when(F.col("pair_n") >= MIN_GROUP, F.to_json(F.struct("lang", "source")))
-        .when(F.col("lang_n") >= MIN_GROUP, F.to_json(F.struct("lang")))
-        .when(F.col("all_n") >= MIN_GROUP, F.lit("{}"))
+    pair, lang, every = F.to_json(F.struct("lang", "source")), F.to_json(F.struct("lang")), F.lit("{}")
+    enough = {n: F.col(n) >= MIN_GROUP for n in ("pair_n", "lang_n", "all_n")}
+    name = F.when(enough["pair_n"], pair).when(enough["lang_n"], lang).when(enough["all_n"], every)
+    fits = F.array(
+        F.when(enough["pair_n"], pair),
+        F.when(enough["lang_n"] & (F.col("least_pair") < MIN_GROUP), lang),
+        F.when(enough["all_n"] & (F.col("least_lang") < MIN_GROUP), every),
     )
-    return level.select("lang", "source", name.alias("grp"))
+    return level.select("lang", "source", name.alias("grp"), F.array_compact(fits).alias("fits"))
 
 
 def _scatter(sums: DataFrame) -> DataFrame:
@@ -161,8 +169,13 @@ def _rank(d2: Column) -> Column:
 
 
 def robust_estimates(rows: DataFrame) -> DataFrame:
-    """MCD centre (m0..) and Cholesky factor (l00..) for each ``grp`` of ``rows`` (x0..)."""
+    """MCD centre (m0..) and Cholesky factor (l00..) for each ``grp`` of ``rows`` (x0..).
+
+    What has one row for each group is written first: its size is known when
+    it is joined, so that rows of a large group need not meet in one task.
+    """
     first = rows.groupBy("grp").agg(*(F.percentile(f"x{i}", 0.5).alias(f"m{i}") for i in range(_DIMS)))
+    first = materialise(first, "medians")
     off = rows.join(first, "grp").groupBy("grp").agg(
         *(F.percentile(F.abs(F.col(f"x{i}") - F.col(f"m{i}")).cast("long"), 0.5).alias(f"a{i}") for i in range(_DIMS)), *(F.first(f"m{i}").alias(f"m{i}") for i in range(_DIMS))
     )
@@ -176,7 +189,7 @@ def robust_estimates(rows: DataFrame) -> DataFrame:
     for _ in range(STEPS):
         far = _distance(rows, estimate).withColumn("bin", _rank(F.col("d2")))
         edge = far.groupBy("grp").agg(F.percentile("bin", CORE).alias("edge"))
-        core = far.join(edge, "grp").filter("bin <= edge")
+        core = far.join(materialise(edge, "edges"), "grp").filter("bin <= edge")
         sums = core.groupBy("grp").agg(
             F.count(F.lit(1)).alias("n"),
             *(F.sum(f"x{i}").alias(f"s{i}") for i in range(_DIMS)),
@@ -197,7 +210,7 @@ def quality_rules(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
         stats = stats.withColumn(f"x{i}", x)
     stats = materialise(stats, "statistics")
     rows = materialise(stats.filter(~F.col("base_failed")).join(_grouped(stats), ["lang", "source"]), "vectors")
-    estimate = robust_estimates(rows.filter("grp IS NOT NULL").select("grp", *(f"x{i}" for i in range(_DIMS))))
+    estimate = robust_estimates(rows.select(F.explode("fits").alias("grp"), *(f"x{i}" for i in range(_DIMS))))
     far = _distance(rows, estimate).select("row_key", "doc_id", "d2")
     judged = far.groupBy("row_key").agg(F.max("d2").alias("d2"))
     out = stats.join(judged, "row_key", "left")

@@ -292,6 +292,22 @@ def test_robust_estimates_reject_outliers(spark):
     assert [r.kept for r in got] == [k % 10 != 0 for k in range(400)]
 
 
+def test_small_groups_are_judged_by_all_rows_of_their_language(spark):
+    """A rare source's junk is far from its language, that of a rare language from all documents."""
+    rng = np.random.default_rng(11)
+    say = lambda mark: " ".join("".join(rng.choice(list("abcdefgh"), 6)) + mark for _ in range(int(rng.integers(80, 200))))
+    rows = [(k, say(""), "en", "hot") for k in range(240)]
+    rows += [(240, say(""), "en", "rare"), (241, say("***"), "en", "rare"), (242, say(""), "de", "rare"), (243, say("***"), "de", "rare")]
+    out = quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    got = {r.doc_id: (r.kept, r.d2) for r in out.collect()}
+    assert len(got) == len(rows)
+    assert {k: got[k][0] for k in range(240, 244)} == {240: True, 241: False, 242: True, 243: False}
+    # the language's estimate is that of one group of all its rows
+    pooled = quality_rules.quality_rules(spark.createDataFrame([(k, t, "en", "one") for k, t, lang, _ in rows if lang == "en"], "doc_id long, text string, lang string, source string"))
+    whole = {r.doc_id: r.d2 for r in pooled.collect()}
+    assert np.allclose([got[k][1] for k in (240, 241)], [whole[k] for k in (240, 241)], rtol=1e-9)
+
+
 def test_decontamination(spark, docs, rows, none):
     items = [(1, rows[12][1][40:200]), (2, "a B"), (10, rows[13][1][:300].upper()), (11, None), (12, ""), (None, "single"), (1, rows[12][1][40:200])]
     table = spark.createDataFrame(items, "item_id long, text string")
