@@ -2,9 +2,10 @@
 
 A unit is a line or sentence that holds a trigger word. Units and templates
 are sparse term vectors, weighted by term frequency times inverse document
-frequency; frequencies of the templates' terms are counted over all
-documents, and any other term weighs as one found in a single document, so a
-unit with much other text scores low. The best template of a document's units
+frequency over all documents. With ``corpus_terms`` that is counted for every
+term of a template or unit, so that scores do not fall as a corpus of equal
+rates grows; without, for the templates' terms only, and any other term
+weighs as one found in a single document. The best template of a document's units
 is its own licence if the cosine reaches the threshold. A file named as a
 licence file gives its licence to its directory; a file without a licence of
 its own takes that of the nearest ancestor directory that has one, by joins
@@ -12,8 +13,9 @@ on paths.
 
 DataFrame functions only. Scale: texts are read twice and never shuffled
 (once for term frequencies, which are combined before the exchange, once for
-units, which are few). Tables of terms and templates have a fixed bound and
-are broadcast. Inheritance joins distinct directories with their ancestors
+units, which are few). Tables of the templates and their terms have a fixed
+bound and are broadcast; weights of other terms are joined to the units'
+terms. Inheritance joins distinct directories with their ancestors
 (as many rows as a path has parts); files join back by directory, which
 adaptive execution can split where one directory is hot.
 
@@ -77,35 +79,41 @@ def _template_rows(spark: SparkSession) -> DataFrame:
     return texts.select("template", "license", F.explode(_terms(F.col("body"))).alias("term")).groupBy("template", "license", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def term_weights(files: DataFrame, text: str = "text") -> DataFrame:
-    """``term, idf`` of the templates' terms and, as term null, of any other."""
+def term_weights(files: DataFrame, text: str = "text", units: DataFrame | None = None) -> DataFrame:
+    """``term, idf`` of the templates' terms, those of ``units`` if given, and, as term null, of any other."""
     spark = files.sparkSession
     names = sorted({t for r in _template_rows(spark).select("term").distinct().collect() for t in r})  # fixed: the templates' words
-    wanted = F.array(*(F.lit(t) for t in names))
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    every = spark.createDataFrame([(t,) for t in [*names, None]], "term string")
+    terms = _terms(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    held = F.array_distinct(terms) if units is not None else F.array_intersect(terms, F.array(*(F.lit(t) for t in names)))
     # one more entry, null, counts the documents themselves
-    found = files.select(F.explode(F.concat(F.array_intersect(_terms(body), wanted), F.array(F.lit(None).cast("string")))).alias("term"))
-    counts = materialise(found.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "frequencies")
+    found = files.select(F.explode(F.concat(held, F.array(F.lit(None).cast("string")))).alias("term"))
+    counts = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    if units is not None:
+        every = every.union(units.select("term")).distinct()
+        counts = counts.join(every.withColumnRenamed("term", "wanted"), F.col("term").eqNullSafe(F.col("wanted")), "left_semi")
+    counts = materialise(counts, "frequencies")
     total = F.broadcast(counts.filter("term IS NULL").select(F.col("df").alias("documents")))
-    every = spark.createDataFrame([(t,) for t in [*names, None]], "term string")
-    joined = every.join(F.broadcast(counts.filter("term IS NOT NULL")), "term", "left").join(total, how="left")
+    joined = every.join(counts.filter("term IS NOT NULL"), "term", "left").join(total, how="left")
     return joined.select("term", F.log((F.coalesce("documents", F.lit(0)) + 1) / F.greatest(F.coalesce("df", F.lit(1)), F.lit(1)) + 1).alias("idf"))
 
 
-def own_licenses(files: DataFrame, key: str, text: str = "text") -> DataFrame:
+def own_licenses(files: DataFrame, key: str, text: str = "text", corpus_terms: bool = False) -> DataFrame:
     """``key, license, score`` of each row with a unit over the threshold."""
     spark = files.sparkSession
-    weights = materialise(term_weights(files, text), "weights")
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    hit = files.select(F.col(key), F.posexplode(F.array_distinct(_units(body))).alias("unit", "body")).distinct()
+    terms = hit.select(key, "unit", F.explode(_terms(F.col("body"))).alias("term")).groupBy(key, "unit", "term").agg(F.count(F.lit(1)).alias("tf"))
+    terms = materialise(terms, "units")
+
+    weights = materialise(term_weights(files, text, terms if corpus_terms else None), "weights")
     other = weights.filter("term IS NULL").select(F.col("idf").alias("other"))
     known = weights.filter("term IS NOT NULL")
-    templates = _template_rows(spark).join(F.broadcast(known), "term").withColumn("w", F.col("tf") * F.col("idf"))
+    templates = _template_rows(spark).join(known if corpus_terms else F.broadcast(known), "term").withColumn("w", F.col("tf") * F.col("idf"))
     templates = materialise(templates.select("template", "license", "term", "w"), "templates")
     sizes = templates.groupBy("template", "license").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
 
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    hit = files.select(F.col(key), F.posexplode(F.array_distinct(_units(body))).alias("unit", "body")).distinct()
-    terms = hit.select(key, "unit", F.explode(_terms(F.col("body"))).alias("term")).groupBy(key, "unit", "term").agg(F.count(F.lit(1)).alias("tf"))
-    terms = terms.join(F.broadcast(known), "term", "left").join(F.broadcast(other), how="left")
+    terms = terms.join(known if corpus_terms else F.broadcast(known), "term", "left").join(F.broadcast(other), how="left")
     terms = terms.withColumn("w", F.col("tf") * F.coalesce("idf", "other"))
     vectors = terms.groupBy(key, "unit").agg(
         F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.when(F.col("idf").isNotNull(), F.struct("term", F.col("w").alias("u")))).alias("entries")
@@ -141,13 +149,13 @@ def inherit(files: DataFrame) -> DataFrame:
     ).withColumn("license", F.coalesce("license", "given")).drop("dir", "from_path", "given")
 
 
-def license_scan(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
+def license_scan(files: DataFrame, path: str = "path", text: str = "text", corpus_terms: bool = False) -> DataFrame:
     """Licences of files. One row for each row of ``files``.
 
     Returns doc_id, path, license, score (of an own licence), basis and
     license_path.
     """
     rows = files.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(path).alias("path"), F.col(text).alias("text"), F.xxhash64("doc_id", path, text).alias("row_key"))
-    own = own_licenses(rows, "row_key")
+    own = own_licenses(rows, "row_key", corpus_terms=corpus_terms)
     out = rows.drop("text").join(own, "row_key", "left")
     return inherit(materialise(out, "own")).select("doc_id", "path", "license", "score", "basis", "license_path")

@@ -35,7 +35,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.when(opens, "LICENSE-").otherwise(""), F.col("doc_id").cast("string"))
     block = F.floor(F.col("doc_id") / 1000).cast("string")
     files = docs.select("doc_id", "text", F.concat_ws("/", "source", "lang", block, name).alias("path"))
-    return license_scan.license_scan(files)
+    return license_scan.license_scan(files, corpus_terms=True)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

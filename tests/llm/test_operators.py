@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.llm import components, decontaminate, kernels, license_scan, ngram_jaccard, packing, quality_rules, storage, substring_dedup, suffix_dedup, token_counts, token_files, tokenize, warc_zip
+from quillon.llm import components, decontaminate, kernels, license_scan, ngram_jaccard, packing, quality_rules, queries, storage, substring_dedup, suffix_dedup, token_counts, token_files, tokenize, warc_zip
 from quillon.llm.queries import vocabulary
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -454,3 +454,15 @@ def test_license_scores(spark):
     assert got.keys() == want.keys()
     for i, (name, score) in want.items():
         assert got[i][0] == name and (score is None or abs(got[i][1] - score) < 2e-6)
+
+
+def test_license_scores_do_not_fall_as_the_corpus_grows(spark, tmp_path):
+    base = ["This repository is released under the MIT License."] + ["The repository holds quiet rivers and nothing else."] * 19
+    scores = []
+    for times in (2, 40):
+        rows = [(i, x, "en", "s", len(x)) for i, x in enumerate(base * times)]
+        spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/{times}/documents.parquet")
+        first = queries.op2_license_scan(spark, f"{tmp_path}/{times}").filter("doc_id = 0").first()
+        assert first.license == "MIT" and first.basis == "own"
+        scores.append(first.score)
+    assert abs(scores[0] - scores[1]) < 0.02
