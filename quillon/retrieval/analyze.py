@@ -10,7 +10,7 @@ from pyspark.sql import Column, functions as F
 
 from quillon.retrieval import porter2
 
-MAX_TERM, MAX_TOKENS, MAX_QUERY = 128, 100_000, 64
+MAX_TERM, MAX_QUERY = 128, 64
 
 # fixed values: English stop words and synonym groups
 STOP_WORDS = frozenset(
@@ -42,11 +42,12 @@ def tokens(text: Column, analyzer: str = "simple") -> Column:
     """Terms of a text in order (an array; null for a null text).
 
     Letters, digits and apostrophes, lower-cased; apostrophes at the edges
-    fall away; terms of over 128 characters are dropped. ``simple`` stays
+    fall away; terms of over 128 characters are dropped. Whole texts are
+    analysed, however long. ``simple`` stays
     native; ``english`` drops stop words and stems in Arrow batches.
     """
     raw = F.regexp_extract_all(F.lower(text), F.lit(_TERMS), F.lit(0))
-    out = F.slice(F.filter(raw, lambda t: F.char_length(t) <= MAX_TERM), 1, MAX_TOKENS)
+    out = F.filter(raw, lambda t: F.char_length(t) <= MAX_TERM)
     if analyzer == "simple":
         return out
     if analyzer == "english":

@@ -92,6 +92,12 @@ def test_search_quality(spark, analyzer, text, ids):
     assert {r.id for r in search.matched(search.Index(rows, ("body",), ("id",), analyzer), text).collect()} == ids
 
 
+def test_long_texts_are_analysed_whole(spark):
+    rows = spark.createDataFrame([("long", "word " * 100_000 + "last"), ("short", "word")], "id string, body string")
+    found = search.matched(search.Index(rows, ("body",), ("id",)), "last", typos=False).collect()
+    assert [r.id for r in found] == ["long"]
+
+
 def test_bm25_value(spark):
     rows = spark.createDataFrame([(1, "cat dog bird"), (2, "cat a b c d e"), (3, "x y z")], "id int, body string")
     got = {r.id: r._score for r in search.search(search.Index(rows, ("body",), ("id",)), "cat").collect()}
