@@ -66,7 +66,9 @@ def _expand(index: Index, query: Query, typos: bool) -> None:
     slots = {id(s): s for s in query.groups}.values()
     for s in slots:
         if s.prefix is not None:
-            s.terms = [r.term for r in index.vocabulary().filter(F.col("term").startswith(s.prefix)).orderBy("term").limit(MAX_PREFIX).collect()]
+            s.terms = [r.term for r in index.vocabulary().filter(F.col("term").startswith(s.prefix)).orderBy("term").limit(MAX_PREFIX + 1).collect()]
+            if len(s.terms) > MAX_PREFIX:
+                raise ValueError("a prefix has too many matches")
         elif s.fuzzy is not None:
             s.terms = _near(index, *s.fuzzy)
     if not typos:

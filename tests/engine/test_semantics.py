@@ -98,6 +98,14 @@ def test_long_texts_are_analysed_whole(spark):
     assert [r.id for r in found] == ["long"]
 
 
+def test_a_prefix_of_too_many_terms_fails(spark):
+    rows = spark.createDataFrame([(i, f"pre{i:03d}") for i in range(search.MAX_PREFIX + 1)], "id int, body string")
+    few = rows.filter(f"id < {search.MAX_PREFIX}")
+    assert search.matched(search.Index(few, ("body",), ("id",)), "pre*").count() == search.MAX_PREFIX
+    with pytest.raises(ValueError, match="too many"):
+        search.matched(search.Index(rows, ("body",), ("id",)), "pre*")
+
+
 def test_bm25_value(spark):
     rows = spark.createDataFrame([(1, "cat dog bird"), (2, "cat a b c d e"), (3, "x y z")], "id int, body string")
     got = {r.id: r._score for r in search.search(search.Index(rows, ("body",), ("id",)), "cat").collect()}
