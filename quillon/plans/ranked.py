@@ -176,7 +176,7 @@ def subscribe_changes(t: Tables):
     base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
     uri = f"{base}/quillon-{uuid.uuid4().hex}"
     for lsn in range(1, 4):
-        changes = t.orders.filter(F.col("o_orderkey") % 50 == lsn).select(
+        changes = t.orders.filter(F.col("o_orderkey") % 3 + 1 == lsn).select(
             F.lit(lsn).cast("long").alias("commit_lsn"), F.col("o_orderkey").cast("long").alias("change_lsn"), F.lit("orders").alias("table_name"),
             F.when(F.col("o_orderkey") % 2 == 0, "UPDATE").otherwise("INSERT").alias("operation"), F.col("o_orderkey").cast("string").alias("pk"),
             F.lit(None).cast("string").alias("before"), F.col("o_orderstatus").alias("after"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import geo, jsonedit, scalar, vectors
 from quillon.operators import relational
+from quillon.plans import catalogue
 from quillon.retrieval import analyze, hybrid, nearest, porter2, search
 from quillon.sources.tables import export, load
 
@@ -106,6 +107,12 @@ def test_a_prefix_of_too_many_terms_fails(spark):
         search.matched(search.Index(rows, ("body",), ("id",)), "pre*")
 
 
+def test_subscribe_changes_takes_all_orders(spark, tmp_path):
+    spark.range(1, 301).select(F.col("id").alias("o_orderkey"), F.lit("O").alias("o_orderstatus")).write.parquet(f"{tmp_path}/orders.parquet")
+    got = catalogue.queries()["subscribe_changes"](spark, str(tmp_path)).collect()
+    assert sorted(int(r.pk) for r in got) == [k for k in range(1, 301) if k % 2 and k % 3]
+
+
 def test_bm25_value(spark):
     rows = spark.createDataFrame([(1, "cat dog bird"), (2, "cat a b c d e"), (3, "x y z")], "id int, body string")
     got = {r.id: r._score for r in search.search(search.Index(rows, ("body",), ("id",)), "cat").collect()}
