@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from quillon.llm import kernels as K, repeats
 from quillon.llm.storage import ship
@@ -34,9 +35,9 @@ SPAN = 10
 _K = 5
 BLOCK_BYTES = 8 << 20
 
-_HITS = "row_key long, doc_id long, n_words long, starts array<int>, ends array<int>, items array<string>"
+_HITS = "row_id long, row_key long, doc_id long, n_words long, starts array<int>, ends array<int>, items array<string>"
 _LISTS = ("starts", "ends", "items")
-_NAMES = ["row_key", "doc_id", "n_words", *_LISTS]
+_NAMES = [*repeats.ROW, "doc_id", "n_words", *_LISTS]
 
 
 def _words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,8 +103,9 @@ class Index:
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _find(docs: DataFrame, index: Index) -> DataFrame:
-    """Per row of ``docs`` (``repeats.keyed``): hit spans and items of one block."""
+def _find(docs: DataFrame, index: Index, also: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of ``docs`` (``repeats.keyed``): hit spans and items of one block, and the columns ``also``."""
+    fields = [docs.schema[c] for c in also]
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,11 +130,13 @@ def _find(docs: DataFrame, index: Index) -> DataFrame:
                     ends.append(e)
                     items.append(sorted({index.ids[x] for x in np.unique(item[a:b]).tolist()}))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("row_key").slice(i, j - i), batch.column("doc_id").slice(i, j - i), pa.array(np.diff(first), pa.int64()), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))],
-                    names=_NAMES,
+                    [*(batch.column(c).slice(i, j - i) for c in (*repeats.ROW, "doc_id")), pa.array(np.diff(first), pa.int64()), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
+                    + [batch.column(c).slice(i, j - i) for c in also],
+                    names=[*_NAMES, *also],
                 )
 
-    return docs.select("row_key", "doc_id", "text").mapInArrow(op, _HITS)
+    needed = dict.fromkeys([*repeats.ROW, "doc_id", "text", *also])
+    return docs.select(*needed).mapInArrow(op, StructType([*StructType.fromDDL(_HITS).fields, *fields]))
 
 
 def _merge(starts: np.ndarray, ends: np.ndarray) -> tuple[list[int], list[int]]:
@@ -154,28 +158,28 @@ def _blocks(items: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, str]
         yield [(r.id, r.text) for r in part.collect()]
 
 
-def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, block_bytes: int = BLOCK_BYTES, pass_through: tuple[str, ...] = ()) -> DataFrame:
     """Benchmark passages in training texts.
 
     Returns one row for each row of ``docs``: doc_id, n_words, n_hit (words
     inside any occurrence of an item's window), n_items, items (sorted as
     strings), items_sha256 (of the comma-joined items), contaminated, and the
-    maximal hit spans as word ranges (starts, ends).
+    maximal hit spans as word ranges (starts, ends). Columns named in
+    ``pass_through`` come along unchanged.
     """
     ship(docs.sparkSession)
-    rows = repeats.keyed(docs)
+    rows = repeats.keyed(docs, *(c for c in pass_through if c != "text"))
     found = more = None
     for block in _blocks(items, block_bytes):
-        one = _find(rows, Index(block, span))
         if found is None:
-            found = one
+            found = _find(rows, Index(block, span), pass_through)
         else:
-            one = one.filter("size(items) > 0").select("row_key", *_LISTS).dropDuplicates(["row_key"])
+            one = _find(rows, Index(block, span)).filter("size(items) > 0").select(*repeats.ROW, *_LISTS).dropDuplicates(repeats.ROW)
             more = one if more is None else more.unionByName(one)
     if more is not None:
-        more = more.groupBy("row_key").agg(*(F.flatten(F.collect_list(c)).alias(f"more_{c}") for c in _LISTS))
-        found = found.join(more, "row_key", "left")
-        found = found.select("row_key", "doc_id", "n_words", *(F.concat(c, F.coalesce(f"more_{c}", F.array().cast(found.schema[c].dataType))).alias(c) for c in _LISTS))
+        more = more.groupBy(*repeats.ROW).agg(*(F.flatten(F.collect_list(c)).alias(f"more_{c}") for c in _LISTS))
+        found = found.join(more, repeats.ROW, "left")
+        found = found.select(*repeats.ROW, "doc_id", "n_words", *(F.concat(c, F.coalesce(f"more_{c}", F.array().cast(found.schema[c].dataType))).alias(c) for c in _LISTS), *pass_through)
 
     def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,11 +190,9 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, block_byt
             hit = [sum(e) - sum(s) for s, e in zip(lists[0], lists[1], strict=True)]
             digest = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in lists[2]]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("n_words"), pa.array(hit, pa.int64()), pa.array([len(x) for x in lists[2]], pa.int64()), pa.array(digest, pa.string()), pa.array([h > 0 for h in hit], pa.bool_()), pa.array(lists[2], pa.list_(pa.string())), pa.array(lists[0], pa.list_(pa.int32())), pa.array(lists[1], pa.list_(pa.int32())), batch.column("row_key")],
-                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "starts", "ends", "row_key"],
+                [batch.column("doc_id"), batch.column("n_words"), pa.array(hit, pa.int64()), pa.array([len(x) for x in lists[2]], pa.int64()), pa.array(digest, pa.string()), pa.array([h > 0 for h in hit], pa.bool_()), pa.array(lists[2], pa.list_(pa.string())), pa.array(lists[0], pa.list_(pa.int32())), pa.array(lists[1], pa.list_(pa.int32())), *(batch.column(c) for c in (*repeats.ROW, *pass_through))],
+                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "starts", "ends", *repeats.ROW, *pass_through],
             )
 
-    return found.mapInArrow(
-        op,
-        "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, starts array<int>, ends array<int>, row_key long",
-    )
+    schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, starts array<int>, ends array<int>, row_id long, row_key long"
+    return found.mapInArrow(op, StructType([*StructType.fromDDL(schema).fields, *(found.schema[c] for c in pass_through)]))

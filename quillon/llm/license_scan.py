@@ -155,7 +155,9 @@ def license_scan(files: DataFrame, path: str = "path", text: str = "text", corpu
     Returns doc_id, path, license, score (of an own licence), basis and
     license_path.
     """
-    rows = files.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(path).alias("path"), F.col(text).alias("text"), F.xxhash64("doc_id", path, text).alias("row_key"))
+    rows = files.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(path).alias("path"), F.col(text).alias("text"))
+    # rows of different ids never meet, however many there are
+    rows = rows.withColumn("row_key", F.struct(F.coalesce("doc_id", F.xxhash64("path", "text")).alias("id"), F.xxhash64("doc_id", "path", "text").alias("hash")))
     own = own_licenses(rows, "row_key", corpus_terms=corpus_terms)
     out = rows.drop("text").join(own, "row_key", "left")
     return inherit(materialise(out, "own")).select("doc_id", "path", "license", "score", "basis", "license_path")

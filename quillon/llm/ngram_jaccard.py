@@ -288,12 +288,12 @@ def _profile(docs: DataFrame) -> DataFrame:
                 column = lambda x: pa.array(x.view(np.int64)).take(take)  # noqa: B023, E731
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(joined.ravel().view(np.int64)), BANDS).cast(pa.list_(pa.int64())).take(take)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(c).slice(i, j - i) for c in ("row_key", "doc_id")] + [column(np.ascontiguousarray(key[:, c])) for c in (0, 1)] + [column(np.ascontiguousarray(bits[:, c])) for c in range(bits.shape[1])] + [lists],
-                    names=["row_key", "doc_id", "node", "check", "bits0", "bits1", "bands"],
+                    [batch.column(c).slice(i, j - i) for c in (*repeats.ROW, "doc_id")] + [column(np.ascontiguousarray(key[:, c])) for c in (0, 1)] + [column(np.ascontiguousarray(bits[:, c])) for c in range(bits.shape[1])] + [lists],
+                    names=[*repeats.ROW, "doc_id", "key", "check", "bits0", "bits1", "bands"],
                 )
 
-    return docs.select("row_key", "doc_id", "text").mapInArrow(
-        op, "row_key long, doc_id long, node long, check long, bits0 long, bits1 long, bands array<long>"
+    return docs.select(*repeats.ROW, "doc_id", "text").mapInArrow(
+        op, "row_id long, row_key long, doc_id long, key long, check long, bits0 long, bits1 long, bands array<long>"
     )
 
 
@@ -317,9 +317,9 @@ def _candidates(sets: DataFrame, threshold: float, tolerance: float, block: int)
 
 def _links(docs: DataFrame, sets: DataFrame, groups: DataFrame, threshold: float, block: int) -> DataFrame:
     """Per member and task: node, group, root of its verified links, linked rows, whole."""
-    members = groups.select("node", F.col("root").alias("group")).join(sets.select("node", "row_key", "copies"), "node")
+    members = groups.select("node", F.col("root").alias("group")).join(sets.select("node", "rep.*", "copies"), "node")
     dealt = _blocks(members, "group", block)
-    texts = docs.select("row_key", "text").join(dealt, "row_key")
+    texts = docs.select(*repeats.ROW, "text").join(dealt, repeats.ROW)
     keys = ["group", "lo", "hi"]
     texts = texts.repartition(*keys).sortWithinPartitions(*keys, "node").select(*keys, "side", "node", "copies", "text")
 
@@ -353,24 +353,24 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
 
     Returns one row for each row of ``docs``: doc_id, class_id (the smallest
     doc_id of its class), n_links (other rows of at least that similarity,
-    copies counted) and row_key (``repeats.keyed``).
+    copies counted) and the row (``repeats.ROW``).
     """
     ship(docs.sparkSession)
     rows = repeats.keyed(docs)
     profile = materialise(_profile(rows), "profile")
     members = profile.drop("bits0", "bits1", "bands")
-    seen = profile.filter("node IS NOT NULL").groupBy("node", "check")
+    seen = profile.filter("key IS NOT NULL").groupBy("key", "check")
     sets = seen.agg(
-        F.count(F.lit(1)).alias("copies"), F.min("row_key").alias("row_key"), F.first("bits0").alias("bits0"), F.first("bits1").alias("bits1"), F.first("bands").alias("bands")
+        F.count(F.lit(1)).alias("copies"), F.min(F.struct(*repeats.ROW)).alias("rep"), F.first("bits0").alias("bits0"), F.first("bits1").alias("bits1"), F.first("bands").alias("bands")
     )
-    sets = materialise(sets, "sets")
+    sets = materialise(sets.withColumn("node", F.monotonically_increasing_id()), "sets")  # written once, so no two sets share a number
     groups = components(_candidates(sets, threshold, tolerance, block))
     found = materialise(_links(rows, sets, groups, threshold, block), "links")
     classes = components(found.filter("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")))
     linked = found.groupBy("node").agg(F.sum("linked").alias("linked"))
-    known = sets.select("node", "copies").join(linked, "node", "left").join(classes, "node", "left")
-    known = known.select("node", F.coalesce("root", "node").alias("root"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    known = materialise(members.join(known, "node", "left"), "classes")
+    known = sets.select("key", "check", "node", "copies").join(linked, "node", "left").join(classes, "node", "left")
+    known = known.select("key", "check", F.coalesce("root", "node").alias("root"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    known = materialise(members.join(known, ["key", "check"], "left"), "classes")
     first = known.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("class_id"))
     out = known.join(first, "root", "left")
-    return out.select("doc_id", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "row_key")
+    return out.select("doc_id", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), *repeats.ROW)

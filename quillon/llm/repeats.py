@@ -6,8 +6,10 @@ content is the text all its windows cover. Two documents that share a window
 share its anchor, so only runs under one anchor need to be compared, and runs
 of equal content (copies, however many) are compared once.
 
-A document row is known by ``row_key``, a hash of its id and text, so that
-repeated rows and null ids need no special case.
+A document row is known by ``ROW``: ``row_id``, its id (or, without one, a
+hash of its text), and ``row_key``, a hash of id and text. Repeated rows and
+null ids need no special case, and rows of different ids never meet, however
+many there are.
 """
 
 from __future__ import annotations
@@ -16,18 +18,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from quillon.llm import kernels as K
 
-RUNS = "anchor long, run long, row_key long, doc_id long, start int, n int"
-_RUN_NAMES = ["anchor", "run", "row_key", "doc_id", "start", "n"]
+ROW = ["row_id", "row_key"]
+RUNS = "anchor long, run long, row_id long, row_key long, start int, n int"
+_RUN_NAMES = ["anchor", "run", *ROW, "start", "n"]
 
 
 def keyed(docs: DataFrame, *also: str) -> DataFrame:
     """doc_id, text and the key of the row (and the columns ``also``)."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), *also)
-    return d.withColumn("row_key", F.xxhash64("doc_id", "text"))
+    return d.withColumn("row_id", F.coalesce("doc_id", F.xxhash64("text"))).withColumn("row_key", F.xxhash64("doc_id", "text"))
 
 
 def units(data: np.ndarray, offs: np.ndarray, words: bool):
@@ -44,7 +47,7 @@ def runs_of(docs: DataFrame, k: int, w: int, words: bool) -> DataFrame:
 
     def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, ids = batch.column("row_key").to_numpy(), batch.column("doc_id")
+            own, keys = batch.column("row_id").to_numpy(), batch.column("row_key").to_numpy()
             data, offs = K.text_buffer(batch.column("text"))
             for i, j in K.slices(offs):
                 prefix, powers, first, _, _ = units(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], words)
@@ -63,20 +66,20 @@ def runs_of(docs: DataFrame, k: int, w: int, words: bool) -> DataFrame:
                     [
                         pa.array(grams[chosen[a]].view(np.int64)),
                         pa.array(K.span_hash(prefix, s, e, powers).view(np.int64)),
+                        pa.array(own[i + row]),
                         pa.array(keys[i + row]),
-                        ids.take(pa.array(i + row)),
                         pa.array((s - first[row]).astype(np.int32)),
                         pa.array((b - a).astype(np.int32)),
                     ],
                     names=_RUN_NAMES,
                 )
 
-    return docs.select("row_key", "doc_id", "text").mapInArrow(op, RUNS)
+    return docs.select(*ROW, "text").mapInArrow(op, RUNS)
 
 
 def by_document(marks: DataFrame, *fields: str) -> DataFrame:
     """Rows of one document gathered in one array (no longer than its text)."""
-    return marks.groupBy("row_key").agg(F.collect_list(F.struct(*fields)).alias("marks"))
+    return marks.groupBy(*ROW).agg(F.collect_list(F.struct(*fields)).alias("marks"))
 
 
 def list_rows(column: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray | pa.Array]]:
@@ -87,7 +90,3 @@ def list_rows(column: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray | pa.A
     flat = column.flatten()
     out = {flat.type.field(i).name: flat.field(i) for i in range(flat.type.num_fields)}
     return np.concatenate([[0], np.cumsum(lengths)]), out
-
-
-def same_row(left: DataFrame, right: DataFrame) -> Column:
-    return left["row_key"] == right["row_key"]

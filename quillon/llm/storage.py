@@ -1,60 +1,25 @@
 """Shared storage: where intermediate tables and files go on a cluster.
 
 Everything that must outlive a stage is written below ``spark.checkpoint.dir``
-(the one folder that driver and executors share). Only where that setting is
-missing, as in tests, a temporary folder of this process is used instead.
+(``sources.storage``), the one folder that driver and executors share.
 """
 
 from __future__ import annotations
 
-import atexit
-import os
 import posixpath
-import sys
-import tempfile
 import uuid
-import zipfile
 from urllib.parse import urlparse
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
-_WORKSPACES: dict[str, str] = {}
-_SHIPPED: set[str] = set()
+from quillon.sources import storage as shared
+from quillon.sources.storage import fresh
+
 #: Arrow settings, Spark's default and the value for batches of texts.
 _BATCHES = (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864", "16777216"))
 
 
-def workspace(spark: SparkSession) -> str:
-    """URI of this application's folder in the shared storage; removed at exit."""
-    app = spark.sparkContext.applicationId
-    if app not in _WORKSPACES:
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            base = f"file://{tempfile.mkdtemp(prefix='quillon-')}"
-            spark.sparkContext.setCheckpointDir(base)
-        elif "://" not in base:
-            base = f"file://{os.path.abspath(base)}"
-        _WORKSPACES[app] = f"{base.rstrip('/')}/quillon-{uuid.uuid4().hex}"
-        atexit.register(_remove, spark, _WORKSPACES[app])
-    return _WORKSPACES[app]
-
-
-def _remove(spark: SparkSession, uri: str) -> None:
-    """Best effort at interpreter exit: the JVM may be gone already."""
-    try:
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(uri)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    except Exception:  # noqa: BLE001
-        pass
-
-
-def fresh(spark: SparkSession, name: str) -> str:
-    """A new URI in the workspace."""
-    return f"{workspace(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there."""
     spark = df.sparkSession
@@ -92,31 +57,8 @@ def ship(spark: SparkSession) -> None:
 
     Batches of whole texts at Spark's default size take hundreds of megabytes
     on both sides of each Python worker; values set by the user stay.
-
-    Where the package is installed or on PYTHONPATH nothing is needed; else
-    it is sent once for each application as a zip file.
     """
-    for key, default, small in _BATCHES:
+    for key, default, few in _BATCHES:
         if spark.conf.get(key, default) == default:
-            spark.conf.set(key, small)
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    _SHIPPED.add(app)
-    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    root = os.path.dirname(package)
-    on_path = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
-    installed = root in on_path or "site-packages" in root
-    if installed or (spark.sparkContext.master.startswith("local[") and os.getcwd() == root):
-        return
-    folder = tempfile.mkdtemp(prefix="quillon-ship-")
-    target = os.path.join(folder, "quillon.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for where, _, names in os.walk(package):
-            for n in names:
-                if n.endswith(".py"):
-                    full = os.path.join(where, n)
-                    z.write(full, os.path.relpath(full, root))
-    spark.sparkContext.addPyFile(target)
-    if root not in sys.path:
-        sys.path.insert(0, root)
+            spark.conf.set(key, few)
+    shared.ship(spark)

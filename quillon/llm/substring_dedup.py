@@ -38,7 +38,7 @@ _RESULT = "n_words long, n_removed long, kept_sha256 string, kept_text string"
 
 
 def repeat_spans(docs: DataFrame, threshold: int = THRESHOLD, k: int = _K) -> DataFrame:
-    """Word spans to remove: row_key and ``marks``, an array of (start, n, mask).
+    """Word spans to remove: the row (``repeats.ROW``) and ``marks``, an array of (start, n, mask).
 
     ``start`` is the first window of a run and ``n`` its number of windows;
     ``mask`` has a byte for each of them (null: all match). ``docs`` is what
@@ -49,16 +49,16 @@ def repeat_spans(docs: DataFrame, threshold: int = THRESHOLD, k: int = _K) -> Da
     found = repeats.runs_of(named, k, w, words=True)
     contexts = materialise(
         found.groupBy("anchor", "run").agg(
-            F.min(F.struct("doc_id", "row_key", "start")).alias("rep"), F.max("doc_id").alias("last"), F.max("n").alias("n")
+            F.min(F.struct("row_id", "row_key", "start")).alias("rep"), F.max("row_id").alias("last"), F.max("n").alias("n")
         ),
         "contexts",
     )
     differing = contexts.groupBy("anchor").agg(
-        F.min("run").alias("r0"), F.max("run").alias("r1"), F.min("rep.doc_id").alias("d0"), F.max("rep.doc_id").alias("d1")
+        F.min("run").alias("r0"), F.max("run").alias("r1"), F.min("rep.row_id").alias("d0"), F.max("rep.row_id").alias("d1")
     )
     differing = differing.filter("r0 < r1 AND d0 < d1").select("anchor")
     unclear = contexts.join(differing, "anchor", "left_semi").select(
-        "anchor", "run", F.col("rep.doc_id").alias("first"), F.col("rep.row_key").alias("row_key"), F.col("rep.start").alias("start"), "n"
+        "anchor", "run", "rep.row_id", "rep.row_key", "rep.start", "n"
     )
     windows = materialise(_extend(docs, unclear, threshold), "windows")
     earliest = windows.groupBy("anchor", "win").agg(F.min("first").alias("d0"), F.max("first").alias("d1"))
@@ -68,10 +68,10 @@ def repeat_spans(docs: DataFrame, threshold: int = THRESHOLD, k: int = _K) -> Da
         .groupBy("anchor", "run")
         .agg(F.collect_set("at").alias("ats"))
     )
-    repeated = contexts.filter(F.col("last") > F.col("rep.doc_id")).select("anchor", "run", F.col("rep.doc_id").alias("first"))
+    repeated = contexts.filter(F.col("last") > F.col("rep.row_id")).select("anchor", "run", F.col("rep.row_id").alias("first"))
     verdict = repeated.join(partly, ["anchor", "run"], "full")
     hit = found.join(verdict, ["anchor", "run"])
-    later = F.col("doc_id") > F.col("first")
+    later = F.col("row_id") > F.col("first")
     marks = hit.withColumn("ats", F.when(F.coalesce(later, F.lit(False)), None).otherwise(F.coalesce("ats", F.array().cast("array<int>"))))
     marks = marks.filter("ats IS NULL OR size(ats) > 0")
     return repeats.by_document(marks, "start", "n", "ats")
@@ -79,14 +79,15 @@ def repeat_spans(docs: DataFrame, threshold: int = THRESHOLD, k: int = _K) -> Da
 
 def _extend(docs: DataFrame, unclear: DataFrame, threshold: int) -> DataFrame:
     """Hash of each window of the representative of an unclear context."""
-    by_doc = unclear.groupBy("row_key").agg(F.collect_list(F.struct("anchor", "run", "first", "start", "n")).alias("marks"))
-    both = docs.join(by_doc, "row_key").select("row_key", "text", "marks")
+    by_doc = unclear.groupBy(*repeats.ROW).agg(F.collect_list(F.struct("anchor", "run", "start", "n")).alias("marks"))
+    both = docs.join(by_doc, repeats.ROW).select("row_id", "text", "marks")
 
     def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = K.text_buffer(batch.column("text"))
             moffs, marks = repeats.list_rows(batch.column("marks"))
             start, n = (marks[c].to_numpy() for c in ("start", "n"))
+            ids = batch.column("row_id").to_numpy()
             for i, j in K.slices(offs):
                 prefix, powers, first, _, _ = repeats.units(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], True)
                 a, b = moffs[i], moffs[j]
@@ -100,7 +101,7 @@ def _extend(docs: DataFrame, unclear: DataFrame, threshold: int) -> DataFrame:
                 win = K.span_hash(prefix, pos, pos + threshold, powers)
                 take = pa.array(of)
                 yield pa.RecordBatch.from_arrays(
-                    [marks["anchor"].take(take), marks["run"].take(take), marks["first"].take(take), pa.array(at.astype(np.int32)), pa.array(win.view(np.int64))],
+                    [marks["anchor"].take(take), marks["run"].take(take), pa.array(ids[i:j][np.repeat(row, count)]), pa.array(at.astype(np.int32)), pa.array(win.view(np.int64))],
                     names=["anchor", "run", "first", "at", "win"],
                 )
 
@@ -135,9 +136,9 @@ def substring_dedup(docs: DataFrame, threshold: int = THRESHOLD, k: int = _K, pa
     """
     ship(docs.sparkSession)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = repeats.keyed(docs, *pass_through).repartition(parts, "row_key")
+    rows = repeats.keyed(docs, *pass_through).repartition(parts, *repeats.ROW)
     spans = repeat_spans(repeats.keyed(docs), threshold, k)
-    both = rows.join(spans, "row_key", "left").select("doc_id", "text", "marks", *pass_through)
+    both = rows.join(spans, repeats.ROW, "left").select("doc_id", "text", "marks", *pass_through)
     also = [rows.schema[c] for c in pass_through]
     schema = StructType([*StructType.fromDDL(f"doc_id long, {_RESULT}").fields, *also])
 

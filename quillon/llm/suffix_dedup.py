@@ -129,8 +129,8 @@ def repeated_starts(data: np.ndarray, prefix: np.ndarray, group: np.ndarray, pos
 
 def _contexts(docs: DataFrame, unclear: DataFrame, threshold: int) -> DataFrame:
     """Bytes of each unclear context, cut from its representative document."""
-    by_doc = unclear.groupBy("row_key").agg(F.collect_list(F.struct("anchor", "run", "start", "n", "lone", "hot")).alias("marks"))
-    both = docs.join(by_doc, "row_key").select("row_key", "text", "marks")
+    by_doc = unclear.groupBy(*repeats.ROW).agg(F.collect_list(F.struct("anchor", "run", "start", "n", "lone", "hot")).alias("marks"))
+    both = docs.join(by_doc, repeats.ROW).select("text", "marks")
 
     def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -240,14 +240,14 @@ def _count_windows(contexts: DataFrame, threshold: int) -> DataFrame:
 
 
 def repeat_spans(docs: DataFrame, threshold: int = THRESHOLD, bucket: int = BUCKET) -> DataFrame:
-    """Byte spans to remove: row_key and ``marks``, as in ``substring_dedup``."""
+    """Byte spans to remove: the row (``repeats.ROW``) and ``marks``, as in ``substring_dedup``."""
     found = repeats.runs_of(docs, _K, threshold - _K + 1, words=False)
     contexts = materialise(
-        found.groupBy("anchor", "run").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("row_key", "start")).alias("rep"), F.max("n").alias("n")), "contexts"
+        found.groupBy("anchor", "run").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("row_id", "row_key", "start")).alias("rep"), F.max("n").alias("n")), "contexts"
     )
     differing = materialise(contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts")).filter("contexts > 1"), "differing")
     unclear = contexts.join(differing, "anchor").select(
-        "anchor", "run", "rep.row_key", "rep.start", "n", (F.col("c") == 1).alias("lone"), (F.col("contexts") > bucket).alias("hot")
+        "anchor", "run", "rep.row_id", "rep.row_key", "rep.start", "n", (F.col("c") == 1).alias("lone"), (F.col("contexts") > bucket).alias("hot")
     )
     cut = materialise(_contexts(docs, unclear, threshold), "unclear")
     partly = _sort_buckets(cut, threshold).unionByName(_count_windows(cut, threshold))
@@ -264,9 +264,9 @@ def suffix_dedup(docs: DataFrame, threshold: int = THRESHOLD, bucket: int = BUCK
     """
     ship(docs.sparkSession)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = repeats.keyed(docs).repartition(parts, "row_key")
+    rows = repeats.keyed(docs).repartition(parts, *repeats.ROW)
     spans = repeat_spans(repeats.keyed(docs), threshold, bucket)
-    both = rows.join(spans, "row_key", "left").select("doc_id", "text", "marks")
+    both = rows.join(spans, repeats.ROW, "left").select("doc_id", "text", "marks")
 
     def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

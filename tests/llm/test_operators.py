@@ -169,7 +169,7 @@ def test_encoder_equals_the_library(rows, name):
 
 def test_near_duplicates(docs, rows, none):
     for block in (1024, 2):
-        got = ngram_jaccard.near_duplicates(docs, block=block).drop("row_key").collect()
+        got = ngram_jaccard.near_duplicates(docs, block=block).drop("row_id", "row_key").collect()
         sets = []
         for _, t in rows:
             w = PLAIN.findall((t or "").lower().replace("ß", "ss"))
@@ -249,7 +249,7 @@ def test_column_generation_is_near_the_bound():
 
 
 def test_quality_base(docs, rows, none):
-    got = quality_rules.quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept").collect()
+    got = quality_rules.quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed").collect()
     want = []
     for i, t in rows:
         t = t or ""
@@ -261,51 +261,115 @@ def test_quality_base(docs, rows, none):
                 hit[p : p + 5] = [True] * 5
         lines = [x for x in t.split("\n") if WORD.search(x)]
         failed = len(w) < 10 or 100 * sum(hit) > 20 * len(w)
-        want.append((i, len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), sum(hit), failed, not failed))
+        want.append((i, len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), sum(hit), failed))
     _same(got, want)
     assert quality_rules.quality_rules(none).count() == 0
 
 
-def test_robust_estimates_reject_outliers(spark):
-    rng = np.random.default_rng(7)
-    rows = []
-    for k in range(400):
-        odd = k % 10 == 0
-        words = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(int(rng.integers(80, 200)))]
-        text = " ".join(w + ("***" if odd else "") for w in words)
-        rows.append((k, text, "en", "s"))
-    out = quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
-    got = sorted(out.collect(), key=lambda r: r.doc_id)
+_QUALITY = "doc_id long, text string, lang string, source string"
+
+
+def _statistics(rows):
     x = [
-        np.array([np.log(r.n_words + 1), np.log((r.word_chars + 1) / (r.n_words + 1)), np.log1p(100 * r.n_symbols / (r.word_chars + 1)), np.log1p(r.n_dup_lines), np.log1p(100 * r.n_repeat_words / (r.n_words + 1))])
-        for r in got
+        [np.log(r.n_words + 1), np.log((r.word_chars + 1) / (r.n_words + 1)), np.log1p(100 * r.n_symbols / (r.word_chars + 1)), np.log1p(r.n_dup_lines), np.log1p(100 * r.n_repeat_words / (r.n_words + 1))]
+        for r in rows
     ]
-    x, floor = np.round(np.array(x) * 1000), np.array(quality_rules.FLOORS) * 1000
-    mean = np.median(x, axis=0)
-    cov = np.diag((1.4826 * np.median(np.abs(x - mean).astype(int), axis=0)) ** 2 + floor**2)
-    far = lambda: np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
-    for _ in range(quality_rules.STEPS):
-        bins = np.floor(np.log1p(far()) * 2000)
-        core = x[bins <= np.percentile(bins, 75)]
-        mean, cov = core.mean(axis=0), np.cov(core.T, bias=True) + np.diag(floor**2)
-    assert np.allclose([r.d2 for r in got], far(), rtol=1e-6)
-    assert [r.kept for r in got] == [k % 10 != 0 for k in range(400)]
-
-
-def test_small_groups_are_judged_by_all_rows_of_their_language(spark):
+    return np.round(np.array(x).reshape(-1, 5) * 1000)
+
+
+def _mcd(x):
+    """n of the core, mean and scatter of one group, by the docstring."""
+    floor, factor, n = np.diag((np.array(quality_rules.FLOORS) * 1000) ** 2), quality_rules.consistency(), len(x)
+    lower = lambda v: np.sort(v, axis=0)[(n - 1) // 2]
+    log_det = lambda c: np.linalg.slogdet(c)[1]
+    m = lower(x)
+    scale = np.sqrt((1.4826 * lower(np.abs(x - m))) ** 2 + np.diag(floor))
+    z = (x - m) / scale
+    size = np.sqrt((z**2).sum(axis=1, keepdims=True))
+    starts = [np.eye(5)]
+    for v in (np.tanh(z), np.divide(z, size, out=np.zeros_like(z), where=size > 0)):
+        c = np.cov(np.round(v * 1000).T, bias=True)
+        root = np.sqrt(np.maximum(np.diag(c), 1))
+        corr = 0.9 * c / np.outer(root, root)
+        np.fill_diagonal(corr, 1)
+        starts.append(corr)
+
+    def step(mean, cov):
+        d2 = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+        bins = np.minimum(np.floor(np.log1p(d2) * 400), 20_000)
+        before = np.searchsorted(np.sort(bins), bins)
+        core = x[before < n * quality_rules.CORE]
+        return len(core), core.mean(axis=0), factor * np.cov(core.T, bias=True) + floor
+
+    found = []
+    for corr in starts:
+        one = step(m, corr * np.outer(scale, scale))
+        for _ in range(quality_rules.FIRST_STEPS - 1):
+            one = step(*one[1:])
+        found.append(one)
+    best = min(found, key=lambda e: log_det(e[2]))
+    while log_det((new := step(*best[1:]))[2]) < log_det(best[2]) - quality_rules.SETTLED:
+        best = new
+    return best
+
+
+def _judged(spark, rows):
+    """Rows of the operator against the method in numpy, of groups of any size."""
+    got = sorted(quality_rules.quality_rules(spark.createDataFrame(rows, _QUALITY), pass_through=("lang", "source")).collect(), key=str)
+    ok = [r for r in got if not r.base_failed]
+    x, lang, pair = _statistics(ok), [r.passed.lang for r in ok], [(r.passed.lang, r.passed.source) for r in ok]
+    names = {None, *((g,) for g in lang), *pair}
+    of = lambda g: np.array([g is None or g == (a,) or g == b for a, b in zip(lang, pair, strict=True)])
+    fits = {g: _mcd(x[of(g)]) for g in names}
+    want = []
+    for k, g in enumerate(pair):
+        mean, cov = fits[None][1:]
+        for name in ((g[0],), g):
+            n, m, c = fits[name]
+            mean = (n * m + quality_rules.PRIOR_MEAN * mean) / (n + quality_rules.PRIOR_MEAN)
+            cov = (n * c + quality_rules.PRIOR * cov) / (n + quality_rules.PRIOR)
+        want.append((x[k] - mean) @ np.linalg.inv(cov) @ (x[k] - mean))
+    assert np.allclose([r.d2 for r in ok], want, rtol=1e-6)
+    assert all(r.kept == (r.d2 <= quality_rules.CUTOFF) for r in ok) and not any(r.kept or r.d2 for r in got if r.base_failed)
+    assert len(got) == len(rows)
+    return got
+
+
+def _say(rng, mark=""):
+    return " ".join("".join(rng.choice(list("abcdefgh"), 6)) + mark for _ in range(int(rng.integers(80, 200))))
+
+
+def test_robust_estimates_reject_outliers(spark):
+    rng = np.random.default_rng(7)
+    rows = [(k, _say(rng, "" if k % 10 else "***"), "en", "s") for k in range(400)]
+    assert {r.doc_id: r.kept for r in _judged(spark, rows)} == {k: k % 10 != 0 for k in range(400)}
+
+
+def test_outliers_of_groups_of_any_size(spark):
     """A rare source's junk is far from its language, that of a rare language from all documents."""
     rng = np.random.default_rng(11)
-    say = lambda mark: " ".join("".join(rng.choice(list("abcdefgh"), 6)) + mark for _ in range(int(rng.integers(80, 200))))
-    rows = [(k, say(""), "en", "hot") for k in range(240)]
-    rows += [(240, say(""), "en", "rare"), (241, say("***"), "en", "rare"), (242, say(""), "de", "rare"), (243, say("***"), "de", "rare")]
-    out = quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
-    got = {r.doc_id: (r.kept, r.d2) for r in out.collect()}
-    assert len(got) == len(rows)
-    assert {k: got[k][0] for k in range(240, 244)} == {240: True, 241: False, 242: True, 243: False}
-    # the language's estimate is that of one group of all its rows
-    pooled = quality_rules.quality_rules(spark.createDataFrame([(k, t, "en", "one") for k, t, lang, _ in rows if lang == "en"], "doc_id long, text string, lang string, source string"))
-    whole = {r.doc_id: r.d2 for r in pooled.collect()}
-    assert np.allclose([got[k][1] for k in (240, 241)], [whole[k] for k in (240, 241)], rtol=1e-9)
+    rows = [(k, _say(rng), "en", "hot") for k in range(240)] + [(k, _say(rng), "en", f"s{k % 3}") for k in range(300, 340)]
+    rows += [(240, _say(rng), "en", "rare"), (241, _say(rng, "***"), "en", "rare"), (242, _say(rng), "de", "rare"), (243, _say(rng, "***"), "de", "rare"), (244, _say(rng, "***"), "en", None), (245, _say(rng, "***"), None, "")]
+    got = {r.doc_id: r.kept for r in _judged(spark, rows)}
+    assert got == {k: k not in (241, 243, 244, 245) for k, *_ in rows}
+    few = [(k, _say(rng), "en", None if k % 2 else "") for k in range(7)]
+    assert all(r.kept for r in _judged(spark, few))
+
+
+def test_repeated_rows_of_other_groups_are_judged_apart(spark):
+    """Equal id and text in another language: each row has its own group's verdict."""
+    rng = np.random.default_rng(5)
+    rows = [(k, _say(rng), "en", "s") for k in range(300)] + [(1000 + k, _say(rng, "#" * 5), "fr", "s") for k in range(300)]
+    rows += [(7, rows[7][1], "fr", "s"), (7, rows[7][1], "en", "s")]
+    en, again, fr = sorted((r.passed.lang, r.d2) for r in _judged(spark, rows) if r.doc_id == 7)
+    assert en == again and en[1] < quality_rules.CUTOFF and fr[1] > 5 * en[1] + 10
+
+
+def test_chi_square():
+    assert abs(quality_rules.chi_square_quantile(0.975, 5) - 12.8325) < 1e-3 and abs(quality_rules.chi_square_quantile(0.5, 7) - 6.3458) < 1e-3
+    rng = np.random.default_rng(1)
+    x = np.sort((rng.normal(size=(400_000, 5)) ** 2).sum(axis=1))
+    assert abs(x[300_000] - quality_rules.chi_square_quantile(0.75, 5)) < 0.05
 
 
 def test_decontamination(spark, docs, rows, none):
