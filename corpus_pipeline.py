@@ -11,21 +11,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillon.llm import decontaminate, ngram_jaccard, packing, quality_rules, substring_dedup
 from quillon.llm.queries import vocabulary
+from quillon.llm.repeats import ROW, keyed
 from quillon.llm.storage import fresh
 
 _COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _verdicts(docs: DataFrame, verdict: DataFrame, *columns: str) -> DataFrame:
-    """Rows of ``docs`` with their operator's verdict, by row key."""
-    keyed = docs.select(*_COLUMNS, F.xxhash64("doc_id", "text").alias("row_key"))
-    return keyed.join(verdict.select("row_key", *columns).dropDuplicates(["row_key"]), "row_key")
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    judged = quality_rules.quality_rules(docs)
-    return _verdicts(docs, judged.filter("kept")).select(*_COLUMNS)
+    judged = quality_rules.quality_rules(docs, pass_through=_COLUMNS)
+    return judged.filter("kept").select(*(f"passed.{c}" for c in _COLUMNS))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +30,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     have no class of their own to stand for, so they stay.
     """
     classes = ngram_jaccard.near_duplicates(docs)
-    stay = classes.filter("class_id IS NULL OR doc_id = class_id")
-    return _verdicts(docs, stay).dropDuplicates(["row_key"]).select(*_COLUMNS)
+    stay = classes.filter("class_id IS NULL OR doc_id = class_id").select(*ROW).distinct()
+    rows = keyed(docs, *_COLUMNS[2:])
+    return rows.join(stay, ROW).dropDuplicates(ROW).select(*_COLUMNS)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +46,8 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of a benchmark item."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.contamination(docs, items)
-    return _verdicts(docs, found.filter("NOT contaminated")).select(*_COLUMNS)
+    found = decontaminate.contamination(docs, items, pass_through=_COLUMNS[1:])
+    return found.filter("NOT contaminated").select(*_COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
