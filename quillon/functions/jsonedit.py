@@ -103,3 +103,22 @@ def json_contains(doc: Column, target: Column) -> Column:
         return pd.Series([None if a is None or b is None else _holds(_parse(a), _parse(b)) for a, b in zip(d, t, strict=True)], dtype=object)
 
     return run(doc, target)
+
+
+def sql_function(name: str):
+    """JSON_SET, JSON_REMOVE or JSON_CONTAINS over columns of text; JSON_SET's value stands under ``v``."""
+
+    def apply(doc: str, *args: str):
+        if name == "JSON_SET":
+            return _write(_put(_parse(doc), _steps(args[0]), _parse(args[1]).get("v")))
+        if name == "JSON_REMOVE":
+            if not _steps(args[0]):
+                raise ValueError("JSON_REMOVE: the path is empty")
+            return _write(_drop(_parse(doc), _steps(args[0])))
+        return _holds(_parse(doc), _parse(args[0]))
+
+    @F.pandas_udf("boolean" if name == "JSON_CONTAINS" else "string")
+    def run(*columns: pd.Series) -> pd.Series:
+        return pd.Series([None if any(x is None for x in row) else apply(*row) for row in zip(*columns, strict=True)], dtype=object)
+
+    return run

@@ -70,3 +70,31 @@ def subtract(a: Column, b: Column) -> Column:
 def scale(a: Column, s: Column | float) -> Column:
     factor = F.lit(float(s)) if isinstance(s, int | float) else s
     return F.transform(a, lambda x: (x.cast("double") * factor).cast("float"))
+
+
+def quantised(a: Column, kind: str) -> Column:
+    """What a VECTOR<F16> or VECTOR<I8> column keeps of a vector, widened again."""
+    if kind == "F16":
+        return _half(a)
+    scale = F.greatest(F.array_max(F.transform(a, lambda x: F.abs(x.cast("double")))), F.lit(1e-38)) / 127
+    step = F.get(F.transform(F.array(scale), lambda s: F.transform(a, lambda x: (F.rint(x.cast("double") / s) * s).cast("float"))), F.lit(0))
+    return F.when(a.isNotNull(), step)
+
+
+def _half(a: Column) -> Column:
+    import numpy as np
+    import pandas as pd
+
+    @F.pandas_udf("array<float>")
+    def run(column: pd.Series) -> pd.Series:
+        return column.map(lambda v: None if v is None else np.asarray(v, np.float32).astype(np.float16).astype(np.float32))
+
+    return run(a)
+
+
+def bits(a: Column) -> Column:
+    """A BITVECTOR packed to bytes, the first element in the lowest bit."""
+    set_ = lambda i, k: F.when(F.coalesce(F.get(a, i * 8 + k), F.lit(0.0)) != 0, F.pow(F.lit(2), k).cast("int")).otherwise(0)
+    byte = lambda i: F.aggregate(F.sequence(F.lit(0), F.lit(7)), F.lit(0), lambda s, k: s + set_(i, k))
+    count = F.ceil(F.size(a) / 8).cast("int")
+    return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.lpad(F.hex(byte(i)), 2, "0")), ""))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.plans import dialect, functional, ranked, registry, relational  # noqa: F401  (they register)
+from quillon.plans import dialect, functional, ranked, registry, relational, statements  # noqa: F401  (they register)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,10 +41,13 @@ def decimal_division(t: Tables):
     return t.lineitem.select("l_orderkey", "l_linenumber", (q * 100000000).cast("long").alias("unit_e8"))
 
 
-@query("SELECT k, CASE WHEN k = 0 THEN 'NaN' WHEN k = 1 THEN 'Infinity' ELSE '-Infinity' END AS q FROM (VALUES (0), (1), (2)) v(k)")
+@query("SELECT o_orderkey AS k, CASE WHEN o_orderkey % 4 = 0 THEN 'NaN' WHEN o_orderkey % 4 = 1 THEN 'Infinity' WHEN o_orderkey % 4 = 2 THEN '-Infinity' ELSE 'finite' END AS q FROM orders")
 def float_division(t: Tables):
-    rows = t.spark.createDataFrame([(0, 0.0), (1, 2.0), (2, -3.0)], "k int, a double")
-    return rows.select("k", S.float_divide(F.col("a"), F.lit(0.0)).cast("string").alias("q"))
+    k = F.col("o_orderkey")
+    a = F.when(k % 4 == 0, 0.0).when(k % 4 == 2, -F.col("o_totalprice")).otherwise(F.col("o_totalprice"))
+    q = S.float_divide(a, F.when(k % 4 == 3, 2.0).otherwise(0.0))
+    shown = F.when(k % 4 == 3, F.when(q == a / 2, "finite")).otherwise(q.cast("string"))
+    return t.orders.select(k.alias("k"), shown.alias("q"))
 
 
 @query("""SELECT k, CASE WHEN a IS NULL OR b IS NULL THEN NULL ELSE greatest(a, b) END AS g, CASE WHEN a IS NULL OR b IS NULL THEN NULL ELSE least(a, b) END AS l,
@@ -95,7 +98,7 @@ def json_get(t: Tables):
     return t.events.select("event_id", S.json_get(v, "k", "long").alias("k"), S.json_get(v, "$.missing").alias("none"))
 
 
-@query("SELECT event_id, 'object' AS t, 'number' AS k, CAST(NULL AS VARCHAR) AS none FROM events")
+@query("SELECT event_id, lower(json_type(props)) AS t, CASE WHEN json_type(props, '$.k') IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN 'number' ELSE lower(json_type(props, '$.k')) END AS k, lower(json_type(props, '$.nothing')) AS none FROM events")
 def json_type(t: Tables):
     v = S.json(F.col("props"))
     return t.events.select("event_id", S.json_type(v).alias("t"), S.json_type(v, "k").alias("k"), S.json_type(v, "nothing").alias("none"))
@@ -131,10 +134,10 @@ def coll_map(t: Tables):
     )
 
 
-@query("SELECT * FROM (VALUES ('x', CAST(1 AS BIGINT)), ('y', 2), (NULL, 3)) v(item, pos)")
+@query("SELECT c_custkey, unnest(string_split(c_name, '#')) AS item, CAST(generate_subscripts(string_split(c_name, '#'), 1) AS BIGINT) AS pos FROM customer")
 def unnest_offset(t: Tables):
-    one = t.spark.range(1).select(F.posexplode(F.array(F.lit("x"), F.lit("y"), F.lit(None).cast("string"))).alias("p", "item"))
-    return one.select("item", (F.col("p") + 1).cast("long").alias("pos"))
+    each = t.customer.select("c_custkey", F.posexplode(F.split("c_name", "#")).alias("p", "item"))
+    return each.select("c_custkey", "item", (F.col("p") + 1).cast("long").alias("pos"))
 
 
 @query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), q AS (SELECT v AS q FROM e WHERE vec_id = 0)
@@ -147,10 +150,11 @@ def vec_scalars(t: Tables):
     return t.embeddings.crossJoin(F.broadcast(q)).select("vec_id", *(F.round(f, 6).alias(n) for n, f in fn.items()), V.dimensions(a).alias("dim"))
 
 
-@query("""SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: 1.0 * x * x))) * 3, 4) AS scaled, CAST(0 AS DOUBLE) AS zero, CAST(1 AS DOUBLE) AS unit FROM embeddings""")
+@query("""SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: 1.0 * x * x))) * 3, 4) AS scaled,
+round(sqrt(list_sum(list_transform(embedding, lambda x: pow(CAST(x AS DOUBLE) + x * x, 2)))), 3) AS moved, round(list_sum(list_transform(embedding, lambda x: abs(1.0 * x))) / sqrt(list_sum(list_transform(embedding, lambda x: 1.0 * x * x))), 2) AS unit FROM embeddings""")
 def vec_build(t: Tables):
     e = F.col("embedding")
-    return t.embeddings.select("vec_id", F.round(V.norm(V.scale(e, 3.0)), 4).alias("scaled"), V.norm(V.subtract(V.add(e, e), V.scale(e, 2.0))).alias("zero"), F.round(V.norm(V.normalize(e)), 4).alias("unit"))
+    return t.embeddings.select("vec_id", F.round(V.norm(V.scale(e, 3.0)), 4).alias("scaled"), F.round(V.norm(V.subtract(V.add(e, F.transform(e, lambda x: (x.cast("double") * x).cast("float"))), V.scale(e, 0.0))), 3).alias("moved"), F.round(V.l1(V.normalize(e), V.scale(e, 0.0)), 2).alias("unit"))
 
 
 def _places(t: Tables):
@@ -180,6 +184,28 @@ def geo_within_box(t: Tables):
     return _places(t).select("c_custkey", G.within_box(p, corner(170, -20, -170, 20)).alias("inside"), G.within_box(p, corner(10, 0, 40, 60), strict=False).alias("covered"))
 
 
-@query()
+_CELL = "least(CAST(floor(({} + {}) / {} * 65536) AS BIGINT), 65535)"
+
+
+@query(f"""SELECT c_custkey, CAST(list_sum(list_transform(range(16), lambda b: (((x >> b) & 1) << (2 * b)) + (((y >> b) & 1) << (2 * b + 1)))) AS BIGINT) AS cell
+FROM (SELECT c_custkey, {_CELL.format('lon', 180, 360)} AS x, {_CELL.format('lat', 90, 180)} AS y FROM {_PLACES})""")
 def geo_hash(t: Tables):
     return _places(t).select("c_custkey", G.geohash(F.col("p"), 16).alias("cell"))
+
+
+@query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), q AS (SELECT v AS q FROM e WHERE vec_id = 0)
+SELECT vec_id, CAST(len(list_filter(list_zip(v, q), lambda x: (x[1] > 0) <> (x[2] > 0))) AS DOUBLE) AS bits FROM e, q""")
+def vec_hamming(t: Tables):
+    sign = lambda c: F.transform(c, lambda x: F.when(x > 0, 1.0).otherwise(0.0).cast("float"))
+    q = t.embeddings.filter("vec_id = 0").select(F.col("embedding").alias("q"))
+    return t.embeddings.crossJoin(F.broadcast(q)).select("vec_id", V.distance("hamming", sign(F.col("embedding")), sign(F.col("q"))).alias("bits"))
+
+
+@query("""SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: pow(CAST(x AS DOUBLE), 2))), 3) AS whole,
+round(list_max(list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE)))) / 127 / 2, 6) AS most FROM embeddings""")
+def vec_quantised(t: Tables):
+    """Of an I8 vector no element is off by over half a step."""
+    e = F.col("embedding")
+    step = F.array_max(F.transform(e, lambda x: F.abs(x.cast("double")))) / 127 / 2
+    off = F.array_max(F.zip_with(e, V.quantised(e, "I8"), lambda x, y: F.abs(x.cast("double") - y)))
+    return t.embeddings.select("vec_id", F.round(V.dot(e, e), 3).alias("whole"), F.when(off <= step * 1.001, F.round(step, 6)).alias("most"))

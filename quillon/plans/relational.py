@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window, functions as F
 
 from quillon.functions import scalar as S
 from quillon.operators import relational as R
 from quillon.plans.registry import Tables, query
+from quillon.sources.storage import fresh, keep as written
 from quillon.sources.tables import Partitioning
 
 
@@ -16,16 +15,6 @@ def money(c) -> F.Column:
     return F.sum(S.exact(F.col(c) if isinstance(c, str) else c, 2, 18)).cast("double")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Rows written to shared storage and read back."""
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    import uuid
-
-    uri = f"{base}/quillon-{uuid.uuid4().hex}"
-    df.write.parquet(uri)
-    return df.sparkSession.read.parquet(uri)
-
-
 # scan, filter, project
 
 
@@ -97,6 +86,30 @@ def join_theta(t: Tables):
     return t.supplier.join(t.nation, on).select("s_suppkey", "n_nationkey")
 
 
+def _theta(t: Tables, how: str):
+    """Pairs by inequalities alone; the side of nations is small and fixed."""
+    on = (F.col("s_nationkey") < F.col("n_nationkey")) & (F.col("s_acctbal") > 9000)
+    return t.supplier.join(F.broadcast(t.nation), on, how).select("s_suppkey", "n_nationkey")
+
+
+_THETA = "SELECT s_suppkey, n_nationkey FROM supplier {} JOIN nation ON s_nationkey < n_nationkey AND s_acctbal > 9000"
+
+
+@query(_THETA.format("LEFT"))
+def theta_left(t: Tables):
+    return _theta(t, "left")
+
+
+@query(_THETA.format("RIGHT"))
+def theta_right(t: Tables):
+    return _theta(t, "right")
+
+
+@query(_THETA.format("FULL"))
+def theta_full(t: Tables):
+    return _theta(t, "full")
+
+
 @query("""SELECT n_name, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
 WHERE r_name = (SELECT min(r_name) FROM region) GROUP BY n_name""")
@@ -124,9 +137,9 @@ def semi_in(t: Tables):
     return t.part.join(t.lineitem.filter("l_quantity > 49"), F.col("p_partkey") == F.col("l_partkey"), "left_semi").select("p_partkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
 def anti_not_exists(t: Tables):
-    return t.customer.join(t.orders, F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
+    return t.customer.join(t.orders.filter("o_totalprice > 300000"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
 
 
 @query("SELECT s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49 AND l_discount > 0.08)")
@@ -308,9 +321,9 @@ def order_ordinal_alias(t: Tables):
     return t.nation.groupBy(F.col("n_regionkey").alias("k")).agg(F.count(F.lit(1)).alias("n")).orderBy(S.desc("n"), S.asc("k")).limit(3)
 
 
-@query("SELECT k, row_number() OVER (ORDER BY v NULLS LAST, k) AS up, row_number() OVER (ORDER BY v DESC NULLS FIRST, k) AS down FROM (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_acctbal END AS v FROM customer WHERE c_custkey < 100)")
+@query("SELECT k, row_number() OVER (ORDER BY v NULLS LAST, k) AS up, row_number() OVER (ORDER BY v DESC NULLS FIRST, k) AS down FROM (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_acctbal END AS v FROM customer)")
 def null_order(t: Tables):
-    v = t.customer.filter("c_custkey < 100").select(F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_acctbal")).alias("v"))
+    v = t.customer.select(F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_acctbal")).alias("v"))
     return v.select("k", F.row_number().over(Window.orderBy(S.asc("v"), "k")).cast("long").alias("up"), F.row_number().over(Window.orderBy(S.desc("v"), "k")).cast("long").alias("down"))
 
 
@@ -332,9 +345,9 @@ def intersect(t: Tables):
     return t.orders.select(F.col("o_custkey").alias("k")).intersect(t.customer.filter("c_acctbal > 8000").select("c_custkey"))
 
 
-@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 300000")
 def except_(t: Tables):
-    return t.customer.select(F.col("c_custkey").alias("k")).subtract(t.orders.select("o_custkey"))
+    return t.customer.select(F.col("c_custkey").alias("k")).subtract(t.orders.filter("o_totalprice > 300000").select("o_custkey"))
 
 
 @query("SELECT n_nationkey AS k FROM nation WHERE n_nationkey < 5 UNION ALL SELECT n_nationkey FROM nation INTERSECT SELECT r_regionkey FROM region")
@@ -421,10 +434,7 @@ def dml_upsert(t: Tables):
 
 
 def _partitioned(t: Tables, p: Partitioning, df: DataFrame) -> DataFrame:
-    import uuid
-
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    uri = f"{base}/quillon-{uuid.uuid4().hex}"
+    uri = fresh(t.spark, "partitioned")
     p.write(df, uri)
     return t.spark.read.parquet(uri)
 

@@ -28,7 +28,7 @@ def nearest(rows: DataFrame, column: str, target, pk: tuple[str, ...], metric: s
     return out if k is None else out.limit(k)
 
 
-def _kmeans(x: np.ndarray, lists: int, rounds: int = 20, seed: int = 7) -> np.ndarray:
+def kmeans(x: np.ndarray, lists: int, rounds: int = 20, seed: int = 7) -> np.ndarray:
     """Centres by k-means++ and Lloyd rounds (sums, no BLAS)."""
     rng = np.random.default_rng(seed)
     centres = [x[int(rng.integers(len(x)))]]
@@ -40,7 +40,7 @@ def _kmeans(x: np.ndarray, lists: int, rounds: int = 20, seed: int = 7) -> np.nd
         gap = np.minimum(gap, ((x - centres[-1]) ** 2).sum(axis=1))
     c = np.array(centres)
     for _ in range(rounds):
-        near = _closest(x, c)
+        near = closest(x, c)
         new = np.array([x[near == i].mean(axis=0) if (near == i).any() else c[i] for i in range(len(c))])
         if np.allclose(new, c):
             break
@@ -48,7 +48,7 @@ def _kmeans(x: np.ndarray, lists: int, rounds: int = 20, seed: int = 7) -> np.nd
     return c
 
 
-def _closest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+def closest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.concatenate([((x[i : i + 256, None, :] - centres[None]) ** 2).sum(axis=2).argmin(axis=1) for i in range(0, len(x), 256)]) if len(x) else np.zeros(0, np.int64)
 
 
@@ -72,7 +72,7 @@ class IVF:
         x = np.array([r[0] for r in sample], dtype=float)
         if metric == "cosine":
             x = x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
-        centres = _kmeans(x, lists)
+        centres = kmeans(x, lists)
         unit = metric == "cosine"
 
         @F.pandas_udf("int")
@@ -82,7 +82,7 @@ class IVF:
                 x = x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
             import pandas as pd
 
-            return pd.Series(_closest(x, centres).astype(np.int32))
+            return pd.Series(closest(x, centres).astype(np.int32))
 
         return cls(rows.withColumn("_list", assign(F.col(column))), column, pk, metric, centres)
 
@@ -95,11 +95,22 @@ class IVF:
         return nearest(self.rows.filter(F.col("_list").isin(*lists)), self.column, target, self.pk, self.metric, k).drop("_list")
 
 
-def sparse_nearest(rows: DataFrame, column: str, target: dict[int, float], pk: tuple[str, ...], k: int | None = None) -> DataFrame:
-    """Inner product of ``struct<idx, val>`` vectors with a sparse query, best first."""
+def sparse_distance(column: str, target: dict[int, float], metric: str = "inner_product") -> Column:
+    """What NEAREST orders ``struct<idx, val>`` vectors by: minus the inner product, or one minus the cosine."""
     wanted = F.create_map(*(x for i, w in target.items() for x in (F.lit(int(i)), F.lit(float(w)))))
     pairs = F.zip_with(F.col(f"{column}.idx"), F.col(f"{column}.val"), lambda i, v: F.coalesce(F.try_element_at(wanted, i), F.lit(0.0)) * v.cast("double"))
-    out = rows.filter(F.col(column).isNotNull()).withColumn("_distance", -F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x))
+    dot = F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x)
+    if metric == "inner_product":
+        return -dot
+    if metric != "cosine":
+        raise ValueError("a sparse column is ranked by COSINE or INNER_PRODUCT")
+    size = vectors.norm(F.col(f"{column}.val")) * float(np.sqrt(sum(w * w for w in target.values())))
+    return 1 - F.when(size == 0, F.lit(0.0)).otherwise(dot / size)
+
+
+def sparse_nearest(rows: DataFrame, column: str, target: dict[int, float], pk: tuple[str, ...], k: int | None = None) -> DataFrame:
+    """Inner product of ``struct<idx, val>`` vectors with a sparse query, best first."""
+    out = rows.filter(F.col(column).isNotNull()).withColumn("_distance", sparse_distance(column, target))
     out = out.filter("_distance <> 0").orderBy("_distance", *pk)
     return out if k is None else out.limit(k)
 
@@ -111,10 +122,10 @@ class ProductQuantiser:
         self.width = sample.shape[1] // subspaces
         if sample.shape[1] % subspaces:
             raise ValueError("SUBSPACES must divide the dimension")
-        self.books = [_kmeans(sample[:, i * self.width : (i + 1) * self.width], codes) for i in range(subspaces)]
+        self.books = [kmeans(sample[:, i * self.width : (i + 1) * self.width], codes) for i in range(subspaces)]
 
     def encode(self, x: np.ndarray) -> np.ndarray:
-        return np.stack([_closest(x[:, i * self.width : (i + 1) * self.width], b) for i, b in enumerate(self.books)], axis=1).astype(np.uint8)
+        return np.stack([closest(x[:, i * self.width : (i + 1) * self.width], b) for i, b in enumerate(self.books)], axis=1).astype(np.uint8)
 
     def table(self, target: np.ndarray) -> list[np.ndarray]:
         return [((b - target[i * self.width : (i + 1) * self.width]) ** 2).sum(axis=1) for i, b in enumerate(self.books)]

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillon.retrieval import analyze
 from quillon.retrieval.analyze import Query, Slot
+from quillon.sources.storage import ship
 
 K1, B = 1.2, 0.75
 MAX_PREFIX, MAX_FUZZY, MAX_FACET = 256, 4096, 1024
@@ -42,6 +43,7 @@ class Index:
     analyzer: str = "simple"
 
     def __post_init__(self) -> None:
+        ship(self.rows.sparkSession)
         self.rows = spread(self.rows)
 
     def terms(self) -> Column:
@@ -61,12 +63,15 @@ class Index:
         return self.rows.select(F.explode(F.array_distinct(F.flatten(self.terms()))).alias("term")).distinct()
 
 
-def _expand(index: Index, query: Query, typos: bool) -> None:
-    """Fill the alternatives of prefix, fuzzy and misspelt slots in place."""
+def expand(index, query: Query, typos: bool) -> None:
+    """Fill the alternatives of prefix, fuzzy and misspelt slots in place.
+
+    ``index`` has a ``vocabulary`` with a column ``term``; terms may repeat.
+    """
     slots = {id(s): s for s in query.groups}.values()
     for s in slots:
         if s.prefix is not None:
-            s.terms = [r.term for r in index.vocabulary().filter(F.col("term").startswith(s.prefix)).orderBy("term").limit(MAX_PREFIX + 1).collect()]
+            s.terms = [r.term for r in index.vocabulary().select("term").filter(F.col("term").startswith(s.prefix)).distinct().orderBy("term").limit(MAX_PREFIX + 1).collect()]
             if len(s.terms) > MAX_PREFIX:
                 raise ValueError("a prefix has too many matches")
         elif s.fuzzy is not None:
@@ -76,7 +81,7 @@ def _expand(index: Index, query: Query, typos: bool) -> None:
     plain = {t for s in slots if s.prefix is None and s.fuzzy is None for t in s.terms}
     if not plain:
         return
-    present = {r.term for r in index.vocabulary().filter(F.col("term").isin(*plain)).collect()}
+    present = {r.term for r in index.vocabulary().select("term").filter(F.col("term").isin(*plain)).distinct().collect()}
     for s in slots:
         if s.prefix is None and s.fuzzy is None and not present.intersection(s.terms):
             most = analyze.auto_typo(len(s.terms[0]))
@@ -84,12 +89,12 @@ def _expand(index: Index, query: Query, typos: bool) -> None:
                 s.terms = _near(index, s.terms[0], most)
 
 
-def _near(index: Index, term: str, most: int) -> list[str]:
+def _near(index, term: str, most: int) -> list[str]:
     @F.pandas_udf("boolean")
     def close(words: pd.Series) -> pd.Series:
         return words.map(lambda w: analyze.osa(w, term, most)).astype(bool)
 
-    near = index.vocabulary().filter(F.abs(F.char_length("term") - len(term)) <= most)
+    near = index.vocabulary().select("term").distinct().filter(F.abs(F.char_length("term") - len(term)) <= most)
     near = near.filter(close(F.col("term")))
     found = [r.term for r in near.orderBy("term").limit(MAX_FUZZY + 1).collect()]
     if len(found) > MAX_FUZZY:
@@ -112,13 +117,23 @@ def _phrase(terms: Column, slots: list[Slot]) -> Column:
     return F.exists(places, lambda at: reduce(lambda a, b: a & b, (fits(at, k) for k in range(len(slots)))))
 
 
-def matched(index: Index, text: str, weights: dict[str, float] | None = None, typos: bool = True) -> DataFrame:
-    """All matching rows with ``_score`` (not ordered)."""
+def check_weights(weights: dict[str, float] | None) -> None:
     for w in (weights or {}).values():
         if not 0 < w <= 64:
             raise ValueError("a weight must be over 0 and at most 64")
+
+
+def expanded(index: Index, text: str, typos: bool = True) -> Query:
+    """The query with all terms that its slots stand for."""
     query = analyze.parse_query(text, index.analyzer)
-    _expand(index, query, typos)
+    expand(index, query, typos)
+    return query
+
+
+def matched(index: Index, text: str, weights: dict[str, float] | None = None, typos: bool = True, query: Query | None = None) -> DataFrame:
+    """All matching rows with ``_score`` (not ordered)."""
+    check_weights(weights)
+    query = query or expanded(index, text, typos)
     if any(not s.terms for s in query.groups):
         return index.rows.withColumn("_score", F.lit(0.0)).limit(0)
     weight = [float((weights or {}).get(f, 1.0)) for f in index.fields]
