@@ -53,10 +53,9 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_I
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             out: list[list[int]] = [[] for _ in range(6)]
-            for a in range(0, batch.num_rows, 256):
-                texts = batch.column("text").slice(a, 256).to_pylist()
-                for doc_id, packed in zip(ids[a : a + 256], encoder.encode(texts, cache_words), strict=True):
-                    packed += end
+            for a in range(0, batch.num_rows, 512):
+                for doc_id, found in zip(ids[a : a + 512], encoder.arrays(batch.column("text").slice(a, 512), cache_words), strict=True):
+                    packed = found.tobytes() + end
                     total = len(packed) // 4
                     for s in range(0, total, length):
                         n = min(length, total - s)

@@ -45,7 +45,7 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = token_counts.token_counts(_read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), limit=512)
-    return out.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+    return out.select("doc_id", "n_bytes", "n_tokens", "over_limit", "fits_chars")
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

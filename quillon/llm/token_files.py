@@ -178,10 +178,9 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, uri: str, block_i
             batch = first
             while batch is not None:
                 ids = batch.column("doc_id").to_pylist()
-                for a in range(0, batch.num_rows, 256):
-                    texts = batch.column("text").slice(a, 256).to_pylist()
-                    for doc_id, packed in zip(ids[a : a + 256], encoder.encode(texts), strict=True):
-                        w.add(doc_id, np.concatenate([np.frombuffer(packed, "<u4"), end]))
+                for a in range(0, batch.num_rows, 512):
+                    for doc_id, found in zip(ids[a : a + 512], encoder.arrays(batch.column("text").slice(a, 512)), strict=True):
+                        w.add(doc_id, np.concatenate([found, end]))
                 batch = next(batches, None)
             w.close()
             made.update(documents=len(w.docs), ids=w.ids)
