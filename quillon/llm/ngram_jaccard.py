@@ -2,20 +2,23 @@
 
 Documents are sets of word shingles. Words are runs of letters, digits and
 non-ASCII characters of the lower-cased text (sharp s as ss), so copies that
-only move sentence borders stay equal. Documents with equal sets collapse to
-one representative. Candidates share a band of MinHash values. Within a
-bucket, MinHash values (one bit of each) are compared a block at a time, and
-a pair is dropped as soon as the posterior probability that its similarity
-reaches the threshold falls below a tolerance. The pairs that stay only tie
-representatives into candidate groups; within a group every pair is verified
-exactly on whole shingle sets, so links are never estimated.
+only move sentence borders stay equal; a text of other characters only has
+its white-space words. Documents with equal sets collapse to one
+representative. Candidates share a band of MinHash values. MinHash values are
+compared incrementally (one bit of each, as b-bit MinHash has it, a block of
+bits at a time), and a pair is dropped as soon as the posterior probability
+that its similarity reaches the threshold falls below a tolerance. Pairs that
+stay tie representatives into candidate groups. Within a group the pairs that
+the pruning leaves, and only they, are verified exactly on whole shingle sets,
+so links are never estimated.
 
 Scale: no pair is ever a row. A bucket or group yields at most one row for
 each member (a spanning forest, or a count of links). Buckets and groups of
-more than ``block`` members are dealt out as pairs of blocks to different
-tasks, each pair of members being judged in one of them; nothing is capped.
-Signatures are made once; only representatives that have a candidate are
-joined to their text.
+more than ``block`` members or ``BLOCK_BYTES`` of text are dealt out as pairs
+of blocks to different tasks, each pair of members being judged in one of
+them; nothing is capped. Signatures are made once; only representatives that
+have a candidate are joined to their text. Joins on what a hot class shares
+have exchanges of their own, which adaptive execution can split.
 
 What can be missed: a pair of similarity s shares no band with probability
 (1 - s**4)**32, 5e-8 at 0.8, and is pruned wrongly with about the tolerance.
@@ -33,10 +36,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quillon.llm import kernels as K, repeats
-from quillon.llm.components import components
+from quillon.llm.components import apart, components
 from quillon.llm.storage import materialise, ship
 
 THRESHOLD = 0.8
@@ -44,7 +47,9 @@ SHINGLE = 5
 BANDS, ROWS = 32, 4
 TOLERANCE = 1e-6
 BLOCK = 1024
+BLOCK_BYTES = 16 << 20  # of text on each side of a pair of blocks
 _STEP = 32  # bits compared at a time
+_COLUMNS = 1 << 15  # shingles in a bit row
 _CHUNK = 1 << 16
 
 
@@ -53,9 +58,23 @@ def normal_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return K.text_buffer(pc.replace_substring(pc.utf8_lower(column), "ß", "ss"))
 
 
+def _other_words(data: np.ndarray, offs: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words, with the white-space words of documents that have no others."""
+    s, e, f = K.word_spans(data, offs, K.NON_SPACE)
+    bare = np.flatnonzero((first[1:] == first[:-1]) & (f[1:] > f[:-1]))
+    if not len(bare):
+        return starts, ends, first
+    take = np.isin(K.row_of(f, np.arange(len(s))), bare)
+    starts, ends = np.concatenate([starts, s[take]]), np.concatenate([ends, e[take]])
+    order = np.argsort(starts, kind="stable")
+    return starts[order], ends[order], np.searchsorted(starts[order], offs)
+
+
 def shingle_sets(data: np.ndarray, offs: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Row and hash of the distinct shingles of each document, in order."""
     starts, ends, first = K.word_spans(data, offs, K.ALNUM)
+    if (first[1:] == first[:-1]).any():
+        starts, ends, first = _other_words(data, offs, starts, ends, first)
     prefix = K.word_prefix(K.span_hash(K.byte_prefix(data), starts, ends))
     at = K.window_starts(first, size)
     rows, grams = K.row_of(first, at), K.span_hash(prefix, at, at + size, K.WORDS)
@@ -183,59 +202,66 @@ def candidate_edges(key: np.ndarray, node: np.ndarray, sketch: np.ndarray, prune
     return names[moved], names[label[moved]]
 
 
-def verified(rows: np.ndarray, grams: np.ndarray, n: int, side: np.ndarray, cross: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs (i < j) of n sets whose Jaccard similarity reaches the threshold.
+def verified(rows: np.ndarray, grams: np.ndarray, n: int, side: np.ndarray, cross: bool, threshold: float, sketch: np.ndarray, pruner: Pruner) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i < j) of n sets whose Jaccard similarity reaches the threshold.
 
     ``side`` is the block of each set; with ``cross`` only pairs across two
-    blocks are judged. Sets are bit rows over the shingles that two share.
+    blocks are judged. Pairs that sizes and the pruning leave are counted
+    exactly, on bit rows over the shingles that two share, ``_COLUMNS`` bits
+    at a time, so memory does not grow with the length of the texts.
     """
     size = np.bincount(rows, minlength=n)
+    by_size = np.argsort(size, kind="stable")
+    own, part, marks = size[by_size], side[by_size], sketch[by_size]
+    left: list[np.ndarray] = []
+    for i in range(n):
+        j = np.arange(i + 1, int(np.searchsorted(own, own[i] / threshold + 1e-9, "right")))
+        if cross:
+            j = j[part[j] != part[i]]
+        if len(j):
+            j = j[pruner.keep(np.broadcast_to(marks[i], (len(j), marks.shape[1])), marks[j])]
+        left.append(j)
+    if not any(map(len, left)):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    place = np.empty(n, np.int64)
+    place[by_size] = np.arange(n)
     _, column, count = np.unique(grams, return_inverse=True, return_counts=True)
     shared = count[column] > 1
     number = np.cumsum(count > 1) - 1
-    column, rows = number[column[shared]], rows[shared]
-    words = int((count > 1).sum() + 63) // 64 or 1
-    place = rows * words + (column >> 6)
-    order = np.argsort(place, kind="stable")
-    place, bit = place[order], (K.U64(1) << (column[order] & 63).astype(K.U64))
-    bits = np.zeros(n * words, dtype=np.uint64)
-    if len(place):
-        begin = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-        bits[place[begin]] = np.bitwise_or.reduceat(bit, begin)
-    bits = bits.reshape(n, words)
-    by_size = np.argsort(size, kind="stable")
-    bits, own, part = bits[by_size], size[by_size], side[by_size]
+    column, where = number[column[shared]], place[rows[shared]]
+    order = np.argsort(column, kind="stable")
+    column, where = column[order], where[order]
+    both = [np.zeros(len(j), np.int64) for j in left]
+    for c in range(0, int(column[-1]) + 1 if len(column) else 0, _COLUMNS):
+        a, b = np.searchsorted(column, [c, c + _COLUMNS])
+        bits = np.zeros((n, _COLUMNS // 8), dtype=np.uint8)
+        np.bitwise_or.at(bits, (where[a:b], (column[a:b] - c) >> 3), (1 << ((column[a:b] - c) & 7)).astype(np.uint8))
+        words = bits.view(np.uint64)
+        for i, j in enumerate(left):
+            for k in range(0, len(j), 256):
+                both[i][k : k + 256] += np.bitwise_count(words[j[k : k + 256]] & words[i]).sum(axis=1, dtype=np.int64)
     a_out, b_out = [], []
-    for i in range(n - 1):
-        end = int(np.searchsorted(own, own[i] / threshold + 1e-9, "right"))
-        for j in range(i + 1, end, step := max(1, (1 << 20) // words)):
-            to = min(end, j + step)
-            both = np.bitwise_count(bits[i] & bits[j:to]).sum(axis=1, dtype=np.int64)
-            hit = both * (1 + threshold) >= threshold * (own[i] + own[j:to]) - 1e-9
-            if cross:
-                hit &= part[j:to] != part[i]
-            k = np.flatnonzero(hit) + j
-            if len(k):
-                a_out.append(np.full(len(k), by_size[i]))
-                b_out.append(by_size[k])
-    if not a_out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for i, j in enumerate(left):
+        hit = j[both[i] * (1 + threshold) >= threshold * (own[i] + own[j]) - 1e-9]
+        a_out.append(np.full(len(hit), by_size[i]))
+        b_out.append(by_size[hit])
     a, b = np.concatenate(a_out), np.concatenate(b_out)
     return np.minimum(a, b), np.maximum(a, b)
 
 
-def _blocks(rows: DataFrame, key: str, block: int) -> DataFrame:
+def _blocks(rows: DataFrame, key: str, block: int, size: Column | None = None) -> DataFrame:
     """Deal out the members of large groups as pairs of blocks.
 
     Adds ``lo``, ``hi`` (the pair) and ``side`` (the member's block). A group
-    of at most ``block`` members is the one pair (0, 0).
+    of at most ``block`` members, and ``BLOCK_BYTES`` of ``size``, is the one
+    pair (0, 0).
     """
-    large = rows.groupBy(key).agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > block)
-    out = rows.join(large, key, "left")
-    blocks = F.ceil(F.coalesce("members", F.lit(1)) / F.lit(block)).cast("int")
-    out = out.withColumn("blocks", blocks).withColumn("side", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
+    weight = F.lit(0) if size is None else F.sum(size)
+    counted = rows.groupBy(key).agg(F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(block), weight / F.lit(BLOCK_BYTES))).cast("int").alias("blocks"))
+    out = rows.join(apart(counted.filter("blocks > 1")), key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    out = out.withColumn("side", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
     out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return out.withColumn("lo", F.least("side", "other")).withColumn("hi", F.greatest("side", "other")).drop("members", "blocks", "other")
+    return out.withColumn("lo", F.least("side", "other")).withColumn("hi", F.greatest("side", "other")).drop("blocks", "other")
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str], weight) -> Iterator[pa.Table]:
@@ -288,12 +314,12 @@ def _profile(docs: DataFrame) -> DataFrame:
                 column = lambda x: pa.array(x.view(np.int64)).take(take)  # noqa: B023, E731
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(joined.ravel().view(np.int64)), BANDS).cast(pa.list_(pa.int64())).take(take)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(c).slice(i, j - i) for c in (*repeats.ROW, "doc_id")] + [column(np.ascontiguousarray(key[:, c])) for c in (0, 1)] + [column(np.ascontiguousarray(bits[:, c])) for c in range(bits.shape[1])] + [lists],
-                    names=[*repeats.ROW, "doc_id", "key", "check", "bits0", "bits1", "bands"],
+                    [batch.column(c).slice(i, j - i) for c in (*repeats.ROW, "doc_id")] + [column(np.ascontiguousarray(key[:, c])) for c in (0, 1)] + [column(np.ascontiguousarray(bits[:, c])) for c in range(bits.shape[1])] + [pa.array(np.diff(offs[i : j + 1])), lists],
+                    names=[*repeats.ROW, "doc_id", "key", "check", "bits0", "bits1", "size", "bands"],
                 )
 
     return docs.select(*repeats.ROW, "doc_id", "text").mapInArrow(
-        op, "row_id long, row_key long, doc_id long, key long, check long, bits0 long, bits1 long, bands array<long>"
+        op, "row_id long, row_key long, doc_id long, key long, check long, bits0 long, bits1 long, size long, bands array<long>"
     )
 
 
@@ -315,13 +341,14 @@ def _candidates(sets: DataFrame, threshold: float, tolerance: float, block: int)
     return dealt.select("band", "lo", "hi", "node", "bits0", "bits1").mapInArrow(op, "u long, v long").distinct()
 
 
-def _links(docs: DataFrame, sets: DataFrame, groups: DataFrame, threshold: float, block: int) -> DataFrame:
+def _links(docs: DataFrame, sets: DataFrame, groups: DataFrame, threshold: float, tolerance: float, block: int) -> DataFrame:
     """Per member and task: node, group, root of its verified links, linked rows, whole."""
-    members = groups.select("node", F.col("root").alias("group")).join(sets.select("node", "rep.*", "copies"), "node")
-    dealt = _blocks(members, "group", block)
+    members = groups.select("node", F.col("root").alias("group")).join(sets.select("node", "rep.*", "copies", "bits0", "bits1", "size"), "node")
+    dealt = _blocks(members, "group", block, F.col("size")).drop("size")
+    pruner = Pruner(BANDS * ROWS, threshold, tolerance)
     texts = docs.select(*repeats.ROW, "text").join(dealt, repeats.ROW)
     keys = ["group", "lo", "hi"]
-    texts = texts.repartition(*keys).sortWithinPartitions(*keys, "node").select(*keys, "side", "node", "copies", "text")
+    texts = texts.repartition(*keys).sortWithinPartitions(*keys, "node").select(*keys, "side", "node", "copies", "bits0", "bits1", "text")
 
     def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _grouped(batches, keys, lambda b: b.get_total_buffer_size() / (4 << 20)):
@@ -336,10 +363,11 @@ def _links(docs: DataFrame, sets: DataFrame, groups: DataFrame, threshold: float
             rows, grams = np.concatenate([i + r for i, (r, _) in sets]), np.concatenate([g for _, (_, g) in sets])
             edge = np.searchsorted(rows, np.append(border, len(node)))
             copies, side = t["copies"].to_numpy(), t["side"].to_numpy()
+            sketch = np.stack([t["bits0"].to_numpy(), t["bits1"].to_numpy()], axis=1).view(np.uint32)
             linked, root = np.zeros(len(node), np.int64), np.arange(len(node))
             for g, (x, y) in enumerate(zip(border, np.append(border[1:], len(node)), strict=True)):
                 own = slice(edge[g], edge[g + 1])
-                a, b = verified(rows[own] - x, grams[own], int(y - x), side[x:y], bool(lo[x] != hi[x]), threshold)
+                a, b = verified(rows[own] - x, grams[own], int(y - x), side[x:y], bool(lo[x] != hi[x]), threshold, sketch[x:y], pruner)
                 np.add.at(linked, a + x, copies[b + x])
                 np.add.at(linked, b + x, copies[a + x])
                 root[x:y] = forest(int(y - x), a, b) + x
@@ -358,19 +386,19 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
     ship(docs.sparkSession)
     rows = repeats.keyed(docs)
     profile = materialise(_profile(rows), "profile")
-    members = profile.drop("bits0", "bits1", "bands")
+    members = profile.drop("bits0", "bits1", "size", "bands")
     seen = profile.filter("key IS NOT NULL").groupBy("key", "check")
     sets = seen.agg(
-        F.count(F.lit(1)).alias("copies"), F.min(F.struct(*repeats.ROW)).alias("rep"), F.first("bits0").alias("bits0"), F.first("bits1").alias("bits1"), F.first("bands").alias("bands")
+        F.count(F.lit(1)).alias("copies"), F.min(F.struct(*repeats.ROW)).alias("rep"), F.first("bits0").alias("bits0"), F.first("bits1").alias("bits1"), F.max("size").alias("size"), F.first("bands").alias("bands")
     )
     sets = materialise(sets.withColumn("node", F.monotonically_increasing_id()), "sets")  # written once, so no two sets share a number
     groups = components(_candidates(sets, threshold, tolerance, block))
-    found = materialise(_links(rows, sets, groups, threshold, block), "links")
+    found = materialise(_links(rows, sets, groups, threshold, tolerance, block), "links")
     classes = components(found.filter("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")))
     linked = found.groupBy("node").agg(F.sum("linked").alias("linked"))
-    known = sets.select("key", "check", "node", "copies").join(linked, "node", "left").join(classes, "node", "left")
+    known = sets.select("key", "check", "node", "copies").join(apart(linked), "node", "left").join(classes, "node", "left")
     known = known.select("key", "check", F.coalesce("root", "node").alias("root"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     known = materialise(members.join(known, ["key", "check"], "left"), "classes")
     first = known.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    out = known.join(first, "root", "left")
+    out = known.join(apart(first), "root", "left")
     return out.select("doc_id", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), *repeats.ROW)

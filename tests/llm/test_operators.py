@@ -160,11 +160,14 @@ def test_token_counts(docs, rows, none):
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_equals_the_library(rows, name):
-    texts = HARD + [t for _, t in rows] + ["a " * 200_000]
+    rnd = random.Random(4)
+    noise = ["".join(rnd.choice("ab 's'st're'VE'll 'd'm12 \n\n  \t!?é²—€İ東<|") for _ in range(rnd.randint(0, 60))) for _ in range(3000)]
+    texts = HARD + [t for _, t in rows] + ["a " * 200_000, "w" * 40 + " " + "y" * 17 + " " + "z" * 16] + noise
     lib = _library(name)
-    packed = tokenize.encoder(vocabulary(name)).encode(texts)
-    for t, p in zip(texts, packed, strict=True):
-        assert np.frombuffer(p, "<u4").tolist() == lib.encode(t or "", add_special_tokens=False).ids
+    want = [lib.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for room in (None, 300):  # a table that is started anew again and again
+        packed = tokenize.Encoder(vocabulary(name)).encode(texts, room)
+        assert [np.frombuffer(p, "<u4").tolist() for p in packed] == want
 
 
 def test_near_duplicates(docs, rows, none):
@@ -530,3 +533,24 @@ def test_license_scores_do_not_fall_as_the_corpus_grows(spark, tmp_path):
         assert first.license == "MIT" and first.basis == "own"
         scores.append(first.score)
     assert abs(scores[0] - scores[1]) < 0.02
+
+
+def test_near_duplicates_of_symbols_and_long_texts(spark):
+    """Texts without a letter are linked by their white-space words; long ones in small blocks of bytes."""
+    rnd = random.Random(8)
+    long = [f"w{rnd.randrange(5000)}" for _ in range(40_000)]
+    near = [list(long) for _ in range(5)]
+    for k, words in enumerate(near):
+        for p in range(k, 40_000, 400):
+            words[p] = f"x{k}"
+    rows = [(1, "*** --- { } ;"), (2, "*** --- { } ;"), (3, "*** +++"), (4, "a b c"), *((10 + k, " ".join(w)) for k, w in enumerate(near))]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    before = ngram_jaccard.BLOCK_BYTES
+    ngram_jaccard.BLOCK_BYTES = 300_000
+    try:
+        got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_jaccard.near_duplicates(table).collect()}
+    finally:
+        ngram_jaccard.BLOCK_BYTES = before
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in near]
+    links = [sum(1 for b in sets if b is not a and len(a & b) >= 0.8 * len(a | b)) for a in sets]
+    assert got == {1: (1, 1), 2: (1, 1), 3: (3, 0), 4: (4, 0)} | {10 + k: (10, n) for k, n in enumerate(links)} and min(links) > 0
