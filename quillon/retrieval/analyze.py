@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
-from quillon.retrieval import porter2
+from quillon.retrieval import porter2, snowball
 
 MAX_TERM, MAX_QUERY = 128, 64
 
@@ -26,10 +26,33 @@ SYNONYMS = (
 _ALTERNATIVES = {porter2.stem(w): sorted({porter2.stem(x) for x in group}) for group in SYNONYMS for w in group}
 
 
-def _english(column: Column) -> Column:
+#: Languages with stop words and a stemmer.
+LANGUAGES = ("english", *snowball.STOPS)
+
+
+def is_stop(term: str, analyzer: str) -> bool:
+    return term in (STOP_WORDS if analyzer == "english" else snowball.STOPS.get(analyzer, ()))
+
+
+def elided(term: str, analyzer: str) -> str:
+    return snowball.elided(term) if analyzer == "french" else term
+
+
+def stemmed(term: str, analyzer: str) -> str:
+    """A term as it is indexed."""
+    if analyzer == "english":
+        return porter2.stem(term)
+    return snowball.stem(term, analyzer) if analyzer in snowball.STOPS else term
+
+
+def _analysed(column: Column, analyzer: str) -> Column:
     @F.pandas_udf("array<string>")
     def run(rows: pd.Series) -> pd.Series:
-        return rows.map(lambda t: None if t is None else [porter2.stem(x) for x in t if x not in STOP_WORDS])
+        def one(terms):
+            plain = [elided(x, analyzer) for x in terms]
+            return [stemmed(x, analyzer) for x in plain if not is_stop(x, analyzer)]
+
+        return rows.map(lambda t: None if t is None else one(t))
 
     return run(column)
 
@@ -43,15 +66,15 @@ def tokens(text: Column, analyzer: str = "simple") -> Column:
 
     Letters, digits and apostrophes, lower-cased; apostrophes at the edges
     fall away; terms of over 128 characters are dropped. Whole texts are
-    analysed, however long. ``simple`` stays
-    native; ``english`` drops stop words and stems in Arrow batches.
+    analysed, however long. ``simple`` stays native; the languages drop stop
+    words and stem in Arrow batches (French elision comes first).
     """
     raw = F.regexp_extract_all(F.lower(text), F.lit(_TERMS), F.lit(0))
     out = F.filter(raw, lambda t: F.char_length(t) <= MAX_TERM)
     if analyzer == "simple":
         return out
-    if analyzer == "english":
-        return _english(out)
+    if analyzer in LANGUAGES:
+        return _analysed(out, analyzer)
     raise ValueError(f"unknown analyzer {analyzer}")
 
 
@@ -99,18 +122,17 @@ def parse_query(text: str, analyzer: str = "simple") -> Query:
 
 def _slot(m: re.Match, analyzer: str) -> Slot | None:
     term, op = m["term"].lower().strip("'"), m["op"]
+    term = elided(term, analyzer)
     if not term:
         return None
     if op == "*":
         return Slot(prefix=term)
     if op:
         return Slot(fuzzy=(term, int(op[1]) if len(op) > 1 else auto_fuzzy(len(term))))
-    if analyzer == "english":
-        if term in STOP_WORDS:
-            return None
-        stem = porter2.stem(term)
-        return Slot(terms=_ALTERNATIVES.get(stem, [stem]))
-    return Slot(terms=[term])
+    if is_stop(term, analyzer):
+        return None
+    stem = stemmed(term, analyzer)
+    return Slot(terms=_ALTERNATIVES.get(stem, [stem]) if analyzer == "english" else [stem])
 
 
 def osa(a: str, b: str, most: int) -> bool:

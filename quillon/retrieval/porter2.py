@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 _VOWELS = frozenset("aeiouy")
@@ -47,9 +48,13 @@ def _short_syllable(w: str) -> bool:
     return len(w) > 2 and w[-1] not in _VOWELS and w[-1] not in "wxY" and w[-2] in _VOWELS and w[-3] not in _VOWELS
 
 
+#: Other letters and digits are left alone.
+_STEMMABLE = re.compile(r"'*[a-z][a-z']*")
+
+
 @lru_cache(maxsize=100_000)
 def stem(word: str) -> str:
-    if len(word) <= 2:
+    if len(word) <= 2 or not _STEMMABLE.fullmatch(word):
         return word
     if word in _SPECIAL:
         return _SPECIAL[word]

@@ -199,7 +199,7 @@ def facet(matches: DataFrame, columns: list[str], top: int | None = None) -> Dat
     return reduce(lambda a, b: a.unionByName(b), parts).orderBy("_at", "rank").drop("_at")
 
 
-def highlight(text: Column, terms: list[str], pre: str = "<b>", post: str = "</b>", analyzer: str = "simple") -> Column:
+def highlight(text: Column, terms: list[str], pre: str = "<mark>", post: str = "</mark>", analyzer: str = "simple") -> Column:
     """The text with its matching words between ``pre`` and ``post``."""
     wanted = frozenset(terms)
 
@@ -216,8 +216,9 @@ def _spans(text: str, wanted: frozenset[str], analyzer: str) -> list[tuple[int,
         raw = m["term"]
         word = raw.strip("'")
         at = m.start() + len(raw) - len(raw.lstrip("'"))
-        term = analyze.porter2.stem(word.lower()) if analyzer == "english" else word.lower()
-        if word and term in wanted:
+        low = analyze.elided(word.lower(), analyzer)
+        term = low if low in wanted else analyze.stemmed(low, analyzer)  # a prefix or fuzzy hit may be unstemmed
+        if word and term in wanted and not analyze.is_stop(low, analyzer):
             out.append((at, at + len(word)))
     return out
 
@@ -230,7 +231,7 @@ def _mark(text: str, wanted: frozenset[str], pre: str, post: str, analyzer: str)
     return "".join([*out, text[at:]])
 
 
-def snippet(text: Column, terms: list[str], width: int = 160, pre: str = "<b>", post: str = "</b>", analyzer: str = "simple") -> Column:
+def snippet(text: Column, terms: list[str], width: int = 160, pre: str = "<mark>", post: str = "</mark>", analyzer: str = "simple") -> Column:
     """The window of ``width`` characters that covers most matches, highlighted."""
     if not 16 <= width <= 4096:
         raise ValueError("SNIPPET: the width must be 16 to 4096")

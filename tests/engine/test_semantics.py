@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillon.functions import geo, jsonedit, scalar, vectors
 from quillon.operators import relational
 from quillon.plans import catalogue
-from quillon.retrieval import analyze, hybrid, nearest, porter2, search
+from quillon.retrieval import analyze, hybrid, nearest, porter2, search, snowball
 from quillon.sources.tables import export, load
 
 
@@ -171,3 +171,28 @@ def test_export_round_trip(spark):
     uri = f"file://{tempfile.mkdtemp()}/x"
     export({"t": rows}, uri)
     assert sorted(load(spark, uri)["t"].collect()) == sorted(rows.collect())
+
+
+STEMS = {
+    "french": "continu continu continuait continu continuation continu mains main maintenaient mainten maintenir mainten maisons maison malades malad l'homme homm chevaux cheval jouer jou fameusement fameux",
+    "german": "kaufen kauf kaufst kauf katzen katz kategorien kategori kategorisch kategor auferstehung aufersteh auffaßt auffasst kater kat aufenthalt aufenthalt",
+    "spanish": "checar chec chicas chic chicago chicag chicharrones chicharron torá tor totales total trabajaba trabaj trabajadores trabaj trabajando trabaj",
+}
+
+
+@pytest.mark.parametrize("language", STEMS)
+def test_stems(language):
+    """Pairs of the published vocabularies."""
+    words = STEMS[language].split()
+    assert [snowball.stem(w, language) for w in words[::2]] == words[1::2]
+    assert snowball.stem("2024er", language) == "2024er"
+
+
+def test_analysers_of_languages(spark):
+    texts = {"french": ("L'homme et les chevaux dans la maison", ["homm", "cheval", "maison"]), "german": ("die Katzen auf dem Dach", ["katz", "dach"]), "spanish": ("los trabajadores en la casa", ["trabaj", "cas"]), "english": ("the cafés of 2days running", ["cafés", "2days", "run"])}
+    for language, (text, want) in texts.items():
+        rows = spark.createDataFrame([(1, text)], "id int, body string")
+        assert rows.select(analyze.tokens(F.col("body"), language)).first()[0] == want
+    rows = spark.createDataFrame([(1, "le cheval court"), (2, "une maison")], "id int, body string")
+    assert [r.id for r in search.matched(search.Index(rows, ("body",), ("id",), "french"), "les chevaux").collect()] == [1]
+    assert analyze.stemmed("années", "english") == "années" and "habíamos" in snowball.STOPS["spanish"] and "unsem" in snowball.STOPS["german"]

@@ -46,7 +46,7 @@ CASES = [
     ("SELECT x, pos FROM UNNEST(ARRAY('p', 'q')) AS u(x, pos) WITH OFFSET", [("p", 1), ("q", 2)]),
     ("SELECT EXTRACT(day, DATE_ADD(TIMESTAMPTZ '2024-01-31', 1, 'month')), DATE_DIFF(TIMESTAMPTZ '2024-02-01', TIMESTAMPTZ '2024-01-31', 'month')", [(2, 1)]),
     ("SELECT * FROM articles SEARCH body FOR 'cat' FACET category", [("category", "pets", 3)]),
-    ("SELECT id, HIGHLIGHT(body) AS h FROM articles WHERE year = 2023 SEARCH body FOR 'cat'", [("four", "the <b>cat</b> and databases")]),
+    ("SELECT id, HIGHLIGHT(body) AS h FROM articles WHERE year = 2023 SEARCH body FOR 'cat'", [("four", "the <mark>cat</mark> and databases")]),
     ("SELECT a.id, c.name FROM articles a LEFT JOIN customers c ON c.name = a.id SEARCH body FOR '\"cat sat\"'", [("one", None), ("two", None)]),
     ("SELECT CASE k WHEN 'a' THEN 1 ELSE 0 END AS c, COUNT(*) AS n FROM w GROUP BY k HAVING COUNT(*) > 1", [(1, 3)]),
     ("SELECT DISTINCT k FROM w ORDER BY k LIMIT 1 OFFSET 1", [("b",)]),
