@@ -108,12 +108,30 @@ def exact(c: Column, scale: int = 2, precision: int = 38) -> Column:
     return c.cast(f"decimal({precision},{scale})")
 
 
+def cents(c: Column) -> Column:
+    """A float that holds hundredths as a whole number of them."""
+    return F.rint(c * 100).cast("long")
+
+
+def whole_sum(c: Column) -> Column:
+    """Exact sum of whole numbers as decimal(38,0), by two sums of longs.
+
+    High and low bits are summed apart, so neither overflows before some
+    10**12 rows, and no row makes a wide decimal.
+    """
+    high, low = F.sum(F.shiftright(c, 20)), F.sum(c.bitwiseAND(F.lit((1 << 20) - 1)))
+    return (high.cast("decimal(19,0)") * F.lit(1 << 20).cast("decimal(7,0)") + low.cast("decimal(19,0)")).cast("decimal(38,0)")
+
+
 def divide(a: Column, b: Column, scale_a: int, scale_b: int) -> Column:
     """Decimal quotient truncated to ``scale_a + 6 - scale_b`` digits."""
     whole = lambda c, s: (c.cast(f"decimal(38,{s})") * F.lit(10**s).cast("decimal(20,0)")).cast("decimal(38,0)")
-    x = (whole(a, scale_a) * F.lit(10**6).cast("decimal(7,0)")).cast("decimal(38,0)")
-    y = whole(b, scale_b)
-    scale = max(scale_a + 6 - scale_b, 0)
+    return _truncated(whole(a, scale_a), whole(b, scale_b), max(scale_a + 6 - scale_b, 0))
+
+
+def _truncated(a: Column, y: Column, scale: int) -> Column:
+    """A million times ``a`` over ``y``, both whole, cut to a whole number and shifted by ``scale`` digits."""
+    x = (a * F.lit(10**6).cast("decimal(7,0)")).cast("decimal(38,0)")
     quotient = ((x - x % y) / y).cast(f"decimal({36 - scale},0)")
     unit = F.lit(f"1e-{scale}").cast(f"decimal({scale + 1},{scale})")  # widths that Spark multiplies exactly
     return _fail(y == 0, "division by zero", (quotient * unit).cast(f"decimal(38,{scale})"))
@@ -127,8 +145,9 @@ def float_divide(a: Column, b: Column) -> Column:
 
 
 def average(c: Column, scale: int = 2) -> Column:
-    """Exact sum over count, truncated to ``scale + 6`` digits (an aggregate)."""
-    return divide(F.sum(exact(c, scale, 28)), F.count(c).cast("decimal(20,0)"), scale, 0)
+    """Exact sum over count of floats that hold ``scale`` digits, truncated to ``scale + 6`` digits (an aggregate)."""
+    total = whole_sum(F.rint(c * 10**scale).cast("long"))
+    return _truncated(total.cast("decimal(31,0)"), F.count(c).cast("decimal(20,0)"), scale + 6)
 
 
 def sqrt(c: Column) -> Column:

@@ -8,11 +8,12 @@ from quillon.functions import scalar as S
 from quillon.operators import relational as R
 from quillon.plans.registry import Tables, query
 from quillon.sources.storage import fresh, keep as written
-from quillon.sources.tables import Partitioning
+from quillon.sources.tables import Partitioning, bucketed
 
 
 def money(c) -> F.Column:
-    return F.sum(S.exact(F.col(c) if isinstance(c, str) else c, 2, 18)).cast("double")
+    total = S.whole_sum(S.cents(F.col(c) if isinstance(c, str) else c))
+    return (total * F.lit("0.01").cast("decimal(2,2)")).cast("double")
 
 
 # scan, filter, project
@@ -172,10 +173,11 @@ def agg_global_empty(t: Tables):
 CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(18,2)))) AS DOUBLE) AS sum_disc
 FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY l_returnflag, l_linestatus""")
 def agg_group(t: Tables):
-    price, cut = S.exact(F.col("l_extendedprice"), 2, 18), S.exact(F.col("l_discount"), 2, 18)
+    price, cut = S.cents(F.col("l_extendedprice")), S.cents(F.col("l_discount"))
+    total = S.whole_sum(price * (100 - cut)).cast("decimal(34,0)")
     rows = t.lineitem.filter("l_shipdate <= TIMESTAMP_NTZ '1998-09-02'")
     return rows.groupBy("l_returnflag", "l_linestatus").agg(
-        F.count(F.lit(1)).alias("n"), money("l_quantity").alias("sum_qty"), F.sum((price * (1 - cut)).cast("decimal(28,4)")).cast("double").alias("sum_disc")
+        F.count(F.lit(1)).alias("n"), money("l_quantity").alias("sum_qty"), (total * F.lit("0.0001").cast("decimal(4,4)")).cast("double").alias("sum_disc")
     )
 
 
@@ -439,6 +441,15 @@ def _partitioned(t: Tables, p: Partitioning, df: DataFrame) -> DataFrame:
     return t.spark.read.parquet(uri)
 
 
+@query("SELECT o_custkey, count(*) AS n, max(l_linenumber) AS most FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_custkey, o_orderkey HAVING count(*) > 5")
+def join_bucketed(t: Tables):
+    """Join and aggregation bucket by bucket: no exchange."""
+    o = bucketed(t.orders.select("o_orderkey", "o_custkey"), "quillon_orders", ["o_orderkey"], 8)
+    li = bucketed(t.lineitem.select("l_orderkey", "l_linenumber"), "quillon_lineitem", ["l_orderkey"], 8)
+    joined = o.join(li.hint("merge"), F.col("o_orderkey") == F.col("l_orderkey"))
+    return joined.groupBy("o_orderkey", "o_custkey").agg(F.count(F.lit(1)).alias("n"), F.max("l_linenumber").alias("most")).filter("n > 5").select("o_custkey", "n", "most")
+
+
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_partkey BETWEEN 500 AND 620")
 def partition_range(t: Tables):
     p = Partitioning("range", "l_partkey", splits=(250, 500, 750, 1000, 1500))

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from quillon.sources.storage import fresh
+
 
 def scan(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table of a folder of Parquet tables."""
@@ -54,6 +56,18 @@ class Partitioning:
         return df.filter(keep)
 
 
+def bucketed(df: DataFrame, name: str, keys: list[str], buckets: int) -> DataFrame:
+    """A table laid out by hash of its keys, sorted in each bucket.
+
+    Joins and aggregations of such tables on their keys go bucket by bucket,
+    without an exchange.
+    """
+    spark = df.sparkSession
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    df.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", fresh(spark, name)).saveAsTable(name)
+    return spark.table(name)
+
+
 def export(tables: dict[str, DataFrame], uri: str) -> None:
     """Write tables and, last, the list that seals the export."""
     spark = None

@@ -159,3 +159,28 @@ def test_subscribe(spark):
         e.sql("SUBSCRIBE TO c AFTER 0")
     with pytest.raises(SqlError):
         e.sql("SUBSCRIBE TO c WHERE x = 'z'")
+
+
+def test_buckets_and_sinks(spark):
+    from quillon.plans import catalogue
+    from quillon.sources.sinks import lines
+    rows_ = spark.createDataFrame([(1, "a,b", None), (2, "é", b"\x01")], "id int, t string, b binary").coalesce(1)
+    assert list(lines(rows_, "csv")) == ["id,t,b", '1,"a,b",', "2,é,01"]
+    assert list(lines(rows_, "json"))[1] == '{"id": 2, "t": "é", "b": "01"}'
+    assert list(lines(rows_, "expanded"))[:2] == ["-- 1", "id | 1"]
+    assert list(lines(rows_))[0] == "id | t   | b"
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = catalogue.queries()["join_bucketed"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
+def test_stream_and_json_get_index(spark):
+    e = Engine(spark)
+    e.register("u", spark.createDataFrame([(1, '{"k":{"z":5}}'), (2, '{"k":{"z":6}}')], "id long, t string").selectExpr("id", "parse_json(t) AS doc"), ["id"])
+    e.sql("CREATE INDEX ix ON u (doc.k.z)")
+    assert rows(e.sql("SELECT id FROM u WHERE JSON_GET(doc, 'k.z') = '6'")) == [(2,)] and e.access == ["u index ix"]
+    assert [r.id for r in e.stream("SELECT id FROM u ORDER BY id")] == [1, 2]
