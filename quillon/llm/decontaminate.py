@@ -8,10 +8,16 @@ compared word by word (as 64-bit word hashes). Items of fewer than 10 words
 are one window of their own length; these lengths, at most nine, are looked
 up directly.
 
-Scale: training texts are read once, without a shuffle. The fingerprints of
-the test items go to all tasks; they are built in blocks of at most
-``block_bytes`` of item text, and each further block reads the training texts
-once more, its hits being merged by row. Nothing grows with the corpus.
+Scale: up to ``block_bytes`` of item text are one index that goes to all
+tasks, and training texts are read once, without a shuffle. More test items
+are joined: their distinct fingerprints with those of the training texts (one
+row for each run of windows with one fingerprint), and the windows of what
+meets with the items' windows. Windows with the same items share one list of
+items, and documents with the same lists one digest, so a window of very many
+items meets many documents without a row for each pair. Only items of fewer
+than 10 words stay in indexes of ``block_bytes``, each of which reads the
+training texts once more. Nothing that grows with either side goes to the
+driver.
 
 Edge cases: null and empty texts have no words; items without words are
 skipped; repeated items count once by id; an item without an id counts as the
@@ -25,11 +31,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 from quillon.llm import kernels as K, repeats
-from quillon.llm.storage import ship
+from quillon.llm.components import apart
+from quillon.llm.storage import materialise, ship
 
 SPAN = 10
 _K = 5
@@ -139,6 +146,87 @@ def _find(docs: DataFrame, index: Index, also: tuple[str, ...] = ()) -> DataFram
     return docs.select(*needed).mapInArrow(op, StructType([*StructType.fromDDL(_HITS).fields, *fields]))
 
 
+def _long_windows(items: DataFrame, span: int) -> DataFrame:
+    """Distinct windows of items of at least ``span`` words: id, fp, key, check."""
+
+    def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offs = K.text_buffer(batch.column("text"))
+            for i, j in K.slices(offs):
+                hashes, first = _words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                prefix, at, marks = _fingerprints(hashes, first, span)
+                ids = batch.column("id").take(pa.array(i + K.row_of(first, at)))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(marks.view(np.int64)), *_window_keys(hashes, prefix, at, span)], names=["id", "fp", "key", "check"])
+
+    return items.select("id", "text").mapInArrow(op, "id string, fp long, key long, check long").distinct()
+
+
+def _window_keys(hashes: np.ndarray, prefix: np.ndarray, at: np.ndarray, span: int) -> list[pa.Array]:
+    """Two independent hashes of windows, in place of their words."""
+    other = K.word_prefix(K.mix(hashes ^ K.U64(0x9FB21C651E98DF25)))
+    return [pa.array(K.span_hash(x, at, at + span, K.WORDS).view(np.int64)) for x in (prefix, other)]
+
+
+def _runs(rows: DataFrame, span: int) -> DataFrame:
+    """Runs of windows with one fingerprint: fp, row, first window, number."""
+
+    def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offs = K.text_buffer(batch.column("text"))
+            keys = [batch.column(c) for c in repeats.ROW]
+            for i, j in K.slices(offs):
+                hashes, first = _words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                _, at, marks = _fingerprints(hashes, first, span)
+                row = K.row_of(first, at)
+                a, b = K.runs(at, marks, row)
+                take = pa.array(i + row[a])
+                yield pa.RecordBatch.from_arrays([pa.array(marks[a].view(np.int64)), *(k.take(take) for k in keys), pa.array((at[a] - first[row[a]]).astype(np.int32)), pa.array((b - a).astype(np.int32))], names=["fp", *repeats.ROW, "start", "n"])
+
+    return rows.select(*repeats.ROW, "text").mapInArrow(op, "fp long, row_id long, row_key long, start int, n int")
+
+
+def _marked_windows(rows: DataFrame, marks: DataFrame, span: int) -> DataFrame:
+    """Windows of marked runs: row, at, key, check."""
+
+    def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offs = K.text_buffer(batch.column("text"))
+            moffs, found = repeats.list_rows(batch.column("marks"))
+            start, n = (found[c].to_numpy().astype(np.int64) for c in ("start", "n"))
+            keys = [batch.column(c) for c in repeats.ROW]
+            for i, j in K.slices(offs):
+                a, b = moffs[i], moffs[j]
+                hashes, first = _words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                row = np.searchsorted(moffs, np.arange(a, b), "right") - 1 - i
+                of = np.repeat(row, n[a:b])
+                at = np.repeat(start[a:b] - np.cumsum(n[a:b]) + n[a:b], n[a:b]) + np.arange(n[a:b].sum())
+                take = pa.array(i + of)
+                yield pa.RecordBatch.from_arrays([*(k.take(take) for k in keys), pa.array(at.astype(np.int32)), *_window_keys(hashes, K.word_prefix(hashes), first[of] + at, span)], names=[*repeats.ROW, "at", "key", "check"])
+
+    return rows.join(marks, repeats.ROW).select(*repeats.ROW, "text", "marks").mapInArrow(op, "row_id long, row_key long, at int, key long, check long")
+
+
+def _joined(rows: DataFrame, items: DataFrame, span: int) -> DataFrame:
+    """Hits of items of at least ``span`` words, by joins: row, starts, ends, items."""
+    windows = materialise(_long_windows(items, span), "item-windows")
+    fps = windows.select("fp").distinct()
+    near = _runs(rows, span).join(apart(fps), "fp", "left_semi").groupBy(*repeats.ROW).agg(F.collect_list(F.struct("start", "n")).alias("marks"))
+    seen = _marked_windows(rows, near, span)
+    # a window's items are known by their number and two sums of hashes, whatever their order
+    wide = lambda *salt: F.sum(F.xxhash64("id", *salt).cast("decimal(20,0)"))
+    known = windows.groupBy("key", "check").agg(F.xxhash64(F.count(F.lit(1)), wide()).alias("list"), F.xxhash64(F.count(F.lit(1)), wide(F.lit(1))).alias("list2"))
+    known = materialise(known, "item-lists")
+    hit = materialise(seen.join(apart(known), ["key", "check"]).select(*repeats.ROW, "at", "list", "list2"), "hits")
+    chosen = known.groupBy("list", "list2").agg(F.min(F.struct("key", "check")).alias("w")).select("list", "list2", "w.*")
+    members = windows.join(chosen, ["key", "check"]).select("list", "list2", "id")
+    spans = hit.groupBy(*repeats.ROW).agg(F.sort_array(F.collect_set("at")).alias("starts"), F.sort_array(F.collect_set(F.struct("list", "list2"))).alias("lists"))
+    spans = materialise(spans.withColumn("digest", F.sha2(F.to_json("lists"), 256)), "row-lists")
+    sets = spans.select("digest", "lists").dropDuplicates(["digest"]).select("digest", F.explode("lists").alias("l")).select("digest", "l.*")
+    named = sets.join(members, ["list", "list2"]).groupBy("digest").agg(F.collect_set("id").alias("items"))
+    out = spans.join(apart(named), "digest")
+    return out.select(*repeats.ROW, "starts", F.transform("starts", lambda x: x + span).alias("ends"), "items")
+
+
 def _merge(starts: np.ndarray, ends: np.ndarray) -> tuple[list[int], list[int]]:
     """Maximal unions of overlapping or touching spans."""
     order = np.argsort(starts, kind="stable")
@@ -147,10 +235,13 @@ def _merge(starts: np.ndarray, ends: np.ndarray) -> tuple[list[int], list[int]]:
     return s[new].tolist(), e[np.append(new[1:], len(s)) - 1].tolist()
 
 
+def _words_in(text: Column) -> Column:
+    """Number of words of an item."""
+    return F.size(F.regexp_extract_all(text, F.lit("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"), F.lit(0)))
+
+
 def _blocks(items: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
-    """Test items in blocks that a driver and a task can hold."""
-    items = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), F.col("text").cast("string").alias("text"))
-    items = items.filter(F.col("text").isNotNull()).distinct()
+    """Test items in blocks that a driver and a task can hold; one at least."""
     size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     count = max(1, -(-int(size) // block_bytes))
     for b in range(count):
@@ -169,7 +260,13 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, block_byt
     """
     ship(docs.sparkSession)
     rows = repeats.keyed(docs, *(c for c in pass_through if c != "text"))
+    items = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), F.col("text").cast("string").alias("text"))
+    items = items.filter(F.col("text").isNotNull()).distinct()
     found = more = None
+    if (items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0) > block_bytes:
+        items = materialise(items.withColumn("short", _words_in(F.col("text")) < span), "items")
+        more = _joined(rows, items.filter("NOT short"), span).select(*repeats.ROW, *_LISTS)
+        items = items.filter("short").drop("short")
     for block in _blocks(items, block_bytes):
         if found is None:
             found = _find(rows, Index(block, span), pass_through)
@@ -184,7 +281,7 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, block_byt
     def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = [batch.column(c).to_pylist() for c in _LISTS]
-            for r in [r for r, x in enumerate(lists[2]) if len(x) > 1]:
+            for r in [r for r, x in enumerate(lists[0]) if len(x) > 1]:
                 lists[0][r], lists[1][r] = _merge(np.array(lists[0][r]), np.array(lists[1][r]))
                 lists[2][r] = sorted(set(lists[2][r]))
             hit = [sum(e) - sum(s) for s, e in zip(lists[0], lists[1], strict=True)]
