@@ -24,6 +24,7 @@ of their own; null ids are ordinary documents. Other columns are ignored.
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from collections.abc import Iterator
 
@@ -103,6 +104,7 @@ def column_generation(demand: np.ndarray, capacity: int, rounds: int = 5000) ->
     basis = np.diag(capacity // (sizes + 1)).astype(float)
     inverse = np.diag(1 / np.diag(basis))
     x = times(inverse, demand[sizes])
+    value = 0.0
     for step in range(rounds):
         duals = inverse.sum(axis=0)
         prices = np.zeros(len(demand))
@@ -128,6 +130,8 @@ def column_generation(demand: np.ndarray, capacity: int, rounds: int = 5000) ->
             error = np.eye(m) - np.einsum("ij,jk->ik", basis, inverse)
             inverse += np.einsum("ij,jk->ik", inverse, error)
             x = np.maximum(times(inverse, demand[sizes]), 0)
+    else:
+        warnings.warn(f"column generation stopped after {rounds} rounds; at most a share of {1 - 1 / value:.2g} of the sequences could be saved", stacklevel=2)
     patterns = np.zeros((m, len(demand)), np.int64)
     patterns[:, sizes] = np.rint(basis).astype(np.int64).T
     return patterns, x
