@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 METRICS = ("cosine", "l2", "l1", "inner_product", "hamming")
@@ -82,9 +84,6 @@ def quantised(a: Column, kind: str) -> Column:
 
 
 def _half(a: Column) -> Column:
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def run(column: pd.Series) -> pd.Series:
         return column.map(lambda v: None if v is None else np.asarray(v, np.float32).astype(np.float16).astype(np.float32))

@@ -184,3 +184,31 @@ def test_stream_and_json_get_index(spark):
     e.sql("CREATE INDEX ix ON u (doc.k.z)")
     assert rows(e.sql("SELECT id FROM u WHERE JSON_GET(doc, 'k.z') = '6'")) == [(2,)] and e.access == ["u index ix"]
     assert [r.id for r in e.stream("SELECT id FROM u ORDER BY id")] == [1, 2]
+
+
+def test_vector_kinds(spark):
+    """Sparse, bit and quantised columns, and fusion of several channels."""
+    e = Engine(spark)
+    e.sql("CREATE TABLE v (id INT64 PRIMARY KEY, b BITVECTOR<4>, h VECTOR<F16,2>, q VECTOR<I8,2>)")
+    e.sql("INSERT INTO v VALUES (1, (1, 0, 1, 0), (0.1, 1), (0.1, 1)), (2, (1, 1, 1, 1), (2, 3), (2, 3)), (3, (0, 0, 0, 0), (1, 1), (1, 1))")
+    assert [r.id for r in e.sql("SELECT id FROM v NEAREST b TO (1, 1, 1, 0) LIMIT 3").collect()] == [1, 2, 3]
+    h, q = e.sql("SELECT h, q FROM v WHERE id = 1").first()
+    assert abs(h[0] - 0.0999755859375) < 1e-9 and abs(q[0] - 13 / 127) < 1e-6
+    with pytest.raises(SqlError):
+        e.sql("INSERT INTO v (id, b) VALUES (4, (2, 0, 0, 0))")
+    with pytest.raises(SqlError):
+        e.sql("INSERT INTO v (id, h) VALUES (4, (1, 2, 3))")
+    pairs = [(k, (8, [k % 8, 7] if k % 8 < 7 else [7], [1.0, 0.5] if k % 8 < 7 else [2.0])) for k in range(1, 20)]
+    e.register("s", spark.createDataFrame(pairs, "id long, x struct<dim:int,idx:array<int>,val:array<float>>"), ["id"])
+    wanted = {3: 2.0, 7: 1.0}
+    for metric in ("INNER_PRODUCT", "COSINE"):
+        sql = f"SELECT id FROM s WHERE id < 18 NEAREST x TO $v USING {metric} LIMIT 4"
+        scan = [r.id for r in e.sql(sql, {"v": wanted}).collect()]
+        e.sql("CREATE VECTOR INDEX sx ON s (x) USING SPARSE")
+        assert [r.id for r in e.sql(sql, {"v": wanted}).collect()] == scan and "s sparse sx" in e.access
+        e.sql("DROP INDEX sx")
+    assert scan[0] in (3, 11)
+    e.register("d", spark.createDataFrame([(i, f"term{i % 3} all", [float(i), 1.0]) for i in range(30)], "id long, body string, v array<float>"), ["id"])
+    both = [r.id for r in e.sql("SELECT id FROM d SEARCH body FOR 'term1' NEAREST v TO (4, 1) USING L2").collect()]
+    assert len(both) == 10 and both[0] in (1, 4) and all(i % 3 == 1 for i in both)
+    assert "d strategy search-ann" in e.access
