@@ -82,12 +82,12 @@ def test_stemmer():
     assert {w: porter2.stem(w) for w in words} == words
 
 
-QUALITY = [("short", "database performance"), ("long", "database performance tuning reference manual"), ("reverse", "performance database"), ("plural", "cats only"), ("en", "the fast automobile runs")]
+QUALITY = [("short", "lantern repair"), ("long", "lantern repair guide for old sheds"), ("reverse", "repair lantern"), ("plural", "owls only"), ("en", "the rapid automobile jumps")]
 
 
 @pytest.mark.parametrize(
     ("analyzer", "text", "ids"),
-    [("simple", '"database performance"', {"short", "long"}), ("simple", "cat", set()), ("simple", "data*", {"reverse", "short", "long"}), ("simple", "databas~", {"reverse", "short", "long"}), ("simple", "databse performance", {"reverse", "short", "long"}), ("english", '"quick car running"', {"en"})],
+    [("simple", '"lantern repair"', {"short", "long"}), ("simple", "owl", set()), ("simple", "lant*", {"reverse", "short", "long"}), ("simple", "lanter~", {"reverse", "short", "long"}), ("simple", "lantren repair", {"reverse", "short", "long"}), ("english", '"fast car jumping"', {"en"})],
 )
 def test_search_quality(spark, analyzer, text, ids):
     rows = spark.createDataFrame(QUALITY, "id string, body string")
@@ -132,9 +132,9 @@ def test_bm25_value(spark):
 
 
 def test_facets(spark):
-    rows = spark.createDataFrame([(1, "the cat sat", "pets"), (2, "the cat sat on the mat", "pets"), (3, "database performance", "tech"), (4, "the cat and databases", "pets")], "id int, body string, category string")
-    got = search.facet(search.matched(search.Index(rows, ("body",), ("id",)), "cat"), ["category"]).collect()
-    assert [tuple(r)[:3] for r in got] == [("category", "pets", 3)]
+    rows = spark.createDataFrame([(1, "an owl slept", "birds"), (2, "an owl slept on a roof", "birds"), (3, "engine tuning", "machines"), (4, "an owl and engines", "birds")], "id int, body string, category string")
+    got = search.facet(search.matched(search.Index(rows, ("body",), ("id",)), "owl"), ["category"]).collect()
+    assert [tuple(r)[:3] for r in got] == [("category", "birds", 3)]
 
 
 def test_snippet_marks_the_cluster():

@@ -212,3 +212,14 @@ def test_vector_kinds(spark):
     both = [r.id for r in e.sql("SELECT id FROM d SEARCH body FOR 'term1' NEAREST v TO (4, 1) USING L2").collect()]
     assert len(both) == 10 and both[0] in (1, 4) and all(i % 3 == 1 for i in both)
     assert "d strategy search-ann" in e.access
+
+
+def test_distinct_by_key_and_prepared(spark):
+    e = Engine(spark)
+    e.sql("CREATE TABLE k (a INT64, b INT64, c INT64, PRIMARY KEY (a, b))")
+    e.sql("INSERT INTO k VALUES (1, 1, 5), (1, 2, 5), (2, 1, 6)")
+    assert len(rows(e.sql("SELECT DISTINCT b, a FROM k"))) == 3 and e.access == ["k distinct by key"]
+    assert sorted(rows(e.sql("SELECT DISTINCT a, c FROM k"))) == [(1, 5), (2, 6)] and e.access == []
+    assert "Aggregate" not in "".join(r.plan for r in e.sql("EXPLAIN SELECT DISTINCT a, b, c FROM k").collect())
+    ask = e.prepare("SELECT c FROM k WHERE a = $a AND b = $b")
+    assert [rows(ask({"a": 1, "b": 2})), rows(ask({"a": 2, "b": 1}))] == [[(5,)], [(6,)]]
