@@ -264,31 +264,6 @@ def _blocks(rows: DataFrame, key: str, block: int, size: Column | None = None) -
     return out.withColumn("lo", F.least("side", "other")).withColumn("hi", F.greatest("side", "other")).drop("blocks", "other")
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str], weight) -> Iterator[pa.Table]:
-    """Tables of whole groups from batches sorted by ``keys``."""
-    held: list[pa.RecordBatch] = []
-    load = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        load += weight(batch)
-        if load < 1:
-            continue
-        t = pa.Table.from_batches(held)
-        last = np.ones(t.num_rows, dtype=bool)
-        for k in keys:
-            v = t[k].to_numpy()
-            last &= v == v[-1]
-        cut = int(np.argmax(last))
-        if cut:
-            yield t.slice(0, cut).combine_chunks()
-            held = t.slice(cut).to_batches()
-            load = 0
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
-
-
 def _profile(docs: DataFrame) -> DataFrame:
     """Per row: key of its shingle set, sketch and band keys (null without words)."""
 
@@ -330,7 +305,7 @@ def _candidates(sets: DataFrame, threshold: float, tolerance: float, block: int)
     dealt = _blocks(rows, "band", block * 4).repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi", "node")
 
     def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _grouped(batches, ["band", "lo", "hi"], lambda b: b.num_rows / _CHUNK):
+        for t in repeats.whole_groups(batches, ["band", "lo", "hi"], lambda b: b.num_rows / _CHUNK):
             band, lo, hi = (t[c].to_numpy() for c in ("band", "lo", "hi"))
             new = np.concatenate([[True], (band[1:] != band[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
             sketch = np.stack([t["bits0"].to_numpy(), t["bits1"].to_numpy()], axis=1).view(np.uint32)
@@ -351,7 +326,7 @@ def _links(docs: DataFrame, sets: DataFrame, groups: DataFrame, threshold: float
     texts = texts.repartition(*keys).sortWithinPartitions(*keys, "node").select(*keys, "side", "node", "copies", "bits0", "bits1", "text")
 
     def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _grouped(batches, keys, lambda b: b.get_total_buffer_size() / (4 << 20)):
+        for t in repeats.whole_groups(batches, keys, lambda b: b.get_total_buffer_size() / (4 << 20)):
             group, lo, hi, node = (t[c].to_numpy() for c in (*keys, "node"))
             new = np.concatenate([[True], (group[1:] != group[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]) | (node[1:] != node[:-1])])
             if not new.all():  # repeated rows of one representative

@@ -90,3 +90,28 @@ def list_rows(column: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray | pa.A
     flat = column.flatten()
     out = {flat.type.field(i).name: flat.field(i) for i in range(flat.type.num_fields)}
     return np.concatenate([[0], np.cumsum(lengths)]), out
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], weight) -> Iterator[pa.Table]:
+    """Tables of whole groups from batches sorted by ``keys``."""
+    held: list[pa.RecordBatch] = []
+    load = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        load += weight(batch)
+        if load < 1:
+            continue
+        t = pa.Table.from_batches(held)
+        last = np.ones(t.num_rows, dtype=bool)
+        for k in keys:
+            v = t[k].to_numpy()
+            last &= v == v[-1]
+        cut = int(np.argmax(last))
+        if cut:
+            yield t.slice(0, cut).combine_chunks()
+            held = t.slice(cut).to_batches()
+            load = 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()

@@ -1,16 +1,26 @@
 """Substring dedup: seed and extend over winnowed anchors.
 
-Documents are joined on winnowed anchors (k-grams of words). Around a shared
-anchor the match is extended both ways to every window of the threshold
-length, and consecutive matching windows merge into maximal repeats. A word
-goes if a window that covers it also starts in a document of smaller id.
+Every window of the threshold length selects a winnowed anchor (a k-gram of
+words); documents that share a passage share its anchor. Seeds: contexts of
+one anchor are joined with the earliest context that shares a window with
+them. Extension: from the anchor, both ways, word by word, to the first words
+that differ. What is at least the threshold long is a maximal repeat, and
+the words that it covers go from the later document. A word so goes exactly
+if a window that covers it also starts in a document of smaller id.
 
 Scale: one row for each anchor and document leaves the scan (about a
 twentieth of the words). Equal contexts collapse in a partial aggregation, so
-a passage in a third of all documents is extended once; only differing
-contexts of one anchor are compared, by window hash, again with partial
-aggregation. Joins go back by (anchor, context), which adaptive execution can
-split where a context is hot.
+a passage in a third of all documents is extended once; only the words of
+differing contexts of one anchor are cut out (some 84 at most). A context is
+joined with the earliest context of each of its windows, at most 35, never
+with all others, so pairs grow with the contexts. Contexts of an anchor meet
+in one task up to ``BUCKET`` of them; those of a hotter anchor are dealt out
+by window, the earliest ones come from an aggregation that is combined before
+the exchange, and seeds are joined with words by (anchor, context), which
+adaptive execution can split. Both ways join and extend the same seeds.
+
+Words are compared as 64-bit hashes; equal contexts rest on the hashes of
+their anchor and content together.
 
 Edge cases: null and empty texts have no words; documents shorter than the
 threshold lose nothing; repeated rows (equal id and text) get equal results;
@@ -33,11 +43,13 @@ from quillon.llm.storage import materialise, ship
 
 THRESHOLD = 50
 _K = 16
+_CHUNK = 1 << 19
+BUCKET = 10_000  # contexts of an anchor, at most some 7 MB of words
 
 _RESULT = "n_words long, n_removed long, kept_sha256 string, kept_text string"
 
 
-def repeat_spans(docs: DataFrame, threshold: int = THRESHOLD, k: int = _K) -> DataFrame:
+def repeat_spans(docs: DataFrame, threshold: int = THRESHOLD, k: int = _K, bucket: int = BUCKET) -> DataFrame:
     """Word spans to remove: the row (``repeats.ROW``) and ``marks``, an array of (start, n, mask).
 
     ``start`` is the first window of a run and ``n`` its number of windows;
@@ -54,20 +66,13 @@ def repeat_spans(docs: DataFrame, threshold: int = THRESHOLD, k: int = _K) -> Da
         "contexts",
     )
     differing = contexts.groupBy("anchor").agg(
-        F.min("run").alias("r0"), F.max("run").alias("r1"), F.min("rep.row_id").alias("d0"), F.max("rep.row_id").alias("d1")
-    )
-    differing = differing.filter("r0 < r1 AND d0 < d1").select("anchor")
-    unclear = contexts.join(differing, "anchor", "left_semi").select(
-        "anchor", "run", "rep.row_id", "rep.row_key", "rep.start", "n"
-    )
-    windows = materialise(_extend(docs, unclear, threshold), "windows")
-    earliest = windows.groupBy("anchor", "win").agg(F.min("first").alias("d0"), F.max("first").alias("d1"))
-    partly = (
-        windows.join(earliest.filter("d0 < d1").drop("d1"), ["anchor", "win"])
-        .filter(F.col("first") > F.col("d0"))
-        .groupBy("anchor", "run")
-        .agg(F.collect_set("at").alias("ats"))
+        F.min("run").alias("r0"), F.max("run").alias("r1"), F.min("rep.row_id").alias("d0"), F.max("rep.row_id").alias("d1"), F.count(F.lit(1)).alias("contexts")
     )
+    differing = materialise(differing.filter("r0 < r1 AND d0 < d1").select("anchor", (F.col("contexts") > bucket).alias("hot")), "differing")
+    unclear = contexts.join(differing, "anchor").select("anchor", "run", "rep.row_id", "rep.row_key", "rep.start", "n", "hot")
+    partly = _near_seeds(_cut(docs, unclear.filter("NOT hot"), threshold), threshold)
+    if not differing.filter("hot").isEmpty():
+        partly = partly.unionByName(_far_seeds(materialise(_cut(docs, unclear.filter("hot"), threshold), "hot-contexts"), threshold))
     repeated = contexts.filter(F.col("last") > F.col("rep.row_id")).select("anchor", "run", F.col("rep.row_id").alias("first"))
     verdict = repeated.join(partly, ["anchor", "run"], "full")
     hit = found.join(verdict, ["anchor", "run"])
@@ -77,8 +82,8 @@ def repeat_spans(docs: DataFrame, threshold: int = THRESHOLD, k: int = _K) -> Da
     return repeats.by_document(marks, "start", "n", "ats")
 
 
-def _extend(docs: DataFrame, unclear: DataFrame, threshold: int) -> DataFrame:
-    """Hash of each window of the representative of an unclear context."""
+def _cut(docs: DataFrame, unclear: DataFrame, threshold: int) -> DataFrame:
+    """Word hashes of each unclear context, cut from its representative document."""
     by_doc = unclear.groupBy(*repeats.ROW).agg(F.collect_list(F.struct("anchor", "run", "start", "n")).alias("marks"))
     both = docs.join(by_doc, repeats.ROW).select("row_id", "text", "marks")
 
@@ -86,26 +91,131 @@ def _extend(docs: DataFrame, unclear: DataFrame, threshold: int) -> DataFrame:
         for batch in batches:
             data, offs = K.text_buffer(batch.column("text"))
             moffs, marks = repeats.list_rows(batch.column("marks"))
-            start, n = (marks[c].to_numpy() for c in ("start", "n"))
+            start, n = (marks[c].to_numpy().astype(np.int64) for c in ("start", "n"))
             ids = batch.column("row_id").to_numpy()
             for i, j in K.slices(offs):
-                prefix, powers, first, _, _ = repeats.units(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], True)
                 a, b = moffs[i], moffs[j]
                 if a == b:
                     continue
+                own = data[offs[i] : offs[j]]
+                starts, ends, first = K.word_spans(own, offs[i : j + 1] - offs[i], K.NON_SPACE)
+                hashes = K.span_hash(K.byte_prefix(own), starts, ends)
                 row = np.searchsorted(moffs, np.arange(a, b), "right") - 1 - i
-                count = n[a:b]
-                of = np.repeat(np.arange(a, b), count)
-                at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                pos = np.repeat(first[row] + start[a:b], count) + at
-                win = K.span_hash(prefix, pos, pos + threshold, powers)
-                take = pa.array(of)
-                yield pa.RecordBatch.from_arrays(
-                    [marks["anchor"].take(take), marks["run"].take(take), pa.array(ids[i:j][np.repeat(row, count)]), pa.array(at.astype(np.int32)), pa.array(win.view(np.int64))],
-                    names=["anchor", "run", "first", "at", "win"],
-                )
+                count = n[a:b] + threshold - 1
+                edge = np.concatenate([[0], np.cumsum(count)])
+                at = np.arange(edge[-1]) - np.repeat(edge[:-1], count) + np.repeat(first[row] + start[a:b], count)
+                lists = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(hashes[at].view(np.int64)))
+                part = slice(a, b)
+                yield pa.RecordBatch.from_arrays([marks["anchor"][part], marks["run"][part], pa.array(ids[i + row]), lists], names=["anchor", "run", "first", "words"])
+
+    return both.mapInArrow(op, "anchor long, run long, first long, words array<long>")
+
+
+def _words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and flat values of a list column."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())]).astype(np.int64), column.flatten().to_numpy().view(np.uint64)
+
+
+def _windows(cut: DataFrame, threshold: int) -> DataFrame:
+    """Hash of each window of each context: anchor, run, first, at, win."""
+
+    def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(a, 2000) for b in batches for a in range(0, b.num_rows, 2000)):
+            offs, words = _words_of(batch.column("words"))
+            pos = K.window_starts(offs, threshold)
+            of = K.row_of(offs, pos)
+            win = K.span_hash(K.word_prefix(words), pos, pos + threshold, K.WORDS)
+            take = pa.array(of)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c).take(take) for c in ("anchor", "run", "first")] + [pa.array((pos - offs[of]).astype(np.int32)), pa.array(win.view(np.int64))], names=["anchor", "run", "first", "at", "win"]
+            )
+
+    return cut.mapInArrow(op, "anchor long, run long, first long, at int, win long")
+
+
+def _equal_run(x: np.ndarray, y: np.ndarray, p: np.ndarray, q: np.ndarray, most: np.ndarray, step: int) -> np.ndarray:
+    """Number of words that agree from x[p] and y[q] on, in one direction."""
+    out = np.zeros(len(p), np.int64)
+    live = np.flatnonzero(most > 0)
+    while len(live):
+        same = x[p[live] + step * out[live]] == y[q[live] + step * out[live]]
+        live = live[same]
+        out[live] += 1
+        live = live[out[live] < most[live]]
+    return out
+
+
+def _extend(pairs: DataFrame, threshold: int) -> DataFrame:
+    """Maximal repeat around each seed: its first and last window (a, b) in the context.
+
+    A seed is a window at ``at`` that starts at ``other_at`` in the earlier
+    context; it is extended from its first word to the left and the right.
+    """
+
+    def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(a, 2000) for b in batches for a in range(0, b.num_rows, 2000)):
+            xo, x = _words_of(batch.column("words"))
+            yo, y = _words_of(batch.column("other_words"))
+            at, other = batch.column("at").to_numpy().astype(np.int64), batch.column("other_at").to_numpy().astype(np.int64)
+            p, q = xo[:-1] + at, yo[:-1] + other
+            right = _equal_run(x, y, p, q, np.minimum(xo[1:] - p, yo[1:] - q), 1)
+            left = _equal_run(x, y, p - 1, q - 1, np.minimum(at, other), -1)
+            keep = left + right >= threshold
+            take = pa.array(np.flatnonzero(keep))
+            a, b = (at - left)[keep], (at + right - threshold)[keep]
+            yield pa.RecordBatch.from_arrays([batch.column("anchor").take(take), batch.column("run").take(take), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], names=["anchor", "run", "a", "b"])
+
+    return pairs.mapInArrow(op, "anchor long, run long, a int, b int")
+
+
+def _near_seeds(cut: DataFrame, threshold: int) -> DataFrame:
+    """anchor, run, ats: windows of each context inside a maximal repeat with an earlier one, whole anchors in a task."""
+    dealt = cut.repartition("anchor").sortWithinPartitions("anchor", "first").select("anchor", "run", "first", "words")
+
+    def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in repeats.whole_groups(batches, ["anchor"], lambda b: len(b.column("words").flatten()) / _CHUNK):
+            anchor, first = t["anchor"].to_numpy(), t["first"].to_numpy()
+            offs, words = _words_of(t["words"])
+            pos = K.window_starts(offs, threshold)
+            of = K.row_of(offs, pos)
+            win = K.span_hash(K.word_prefix(words), pos, pos + threshold, K.WORDS)
+            group = np.cumsum(np.concatenate([[0], anchor[1:] != anchor[:-1]]))
+            order = np.lexsort((first[of], win, group[of]))
+            g, w = group[of][order], win[order]
+            new = np.concatenate([[True], (g[1:] != g[:-1]) | (w[1:] != w[:-1])])
+            lead = order[np.flatnonzero(new)][np.cumsum(new) - 1]  # the earliest context's window
+            seed = np.flatnonzero(first[of[order]] > first[of[lead]])
+            mine, other = order[seed], lead[seed]
+            _, once = np.unique(of[mine] * len(anchor) + of[other], return_index=True)
+            mine, other = mine[once], other[once]
+            p, q = pos[mine], pos[other]
+            x, y = of[mine], of[other]
+            right = _equal_run(words, words, p, q, np.minimum(offs[x + 1] - p, offs[y + 1] - q), 1)
+            left = _equal_run(words, words, p - 1, q - 1, np.minimum(p - offs[x], q - offs[y]), -1)
+            keep = left + right >= threshold
+            number = np.searchsorted(pos, p[keep])  # windows are numbered through all contexts
+            inside = K.covered(len(pos), number - left[keep], number + right[keep] - threshold + 1)
+            counts = np.bincount(of[inside], minlength=len(anchor))
+            some = np.flatnonzero(counts)
+            lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts[some])]).astype(np.int32), pa.array((pos - offs[of])[inside].astype(np.int32)))
+            take = pa.array(some)
+            yield pa.RecordBatch.from_arrays([t["anchor"].combine_chunks().take(take), t["run"].combine_chunks().take(take), lists], names=["anchor", "run", "ats"])
+
+    return dealt.mapInArrow(op, "anchor long, run long, ats array<int>")
+
 
-    return both.mapInArrow(op, "anchor long, run long, first long, at int, win long")
+def _far_seeds(cut: DataFrame, threshold: int) -> DataFrame:
+    """The same for anchors with very many contexts, by joins."""
+    windows = _windows(cut, threshold)
+    earliest = windows.groupBy("anchor", "win").agg(F.min(F.struct("first", F.col("run").alias("other"), F.col("at").alias("other_at"))).alias("lead"), F.max("first").alias("d1"))
+    seeds = windows.join(earliest.filter("lead.first < d1").select("anchor", "win", "lead"), ["anchor", "win"]).filter(F.col("first") > F.col("lead.first"))
+    seeds = seeds.groupBy("anchor", "run", "lead.other").agg(F.min(F.struct("at", "lead.other_at")).alias("seed"))
+    words = cut.select("anchor", "run", "words")
+    pairs = seeds.select("anchor", "run", "other", "seed.*").join(words, ["anchor", "run"])
+    pairs = pairs.join(words.toDF("anchor", "other", "other_words"), ["anchor", "other"])
+    found = _extend(pairs.select("anchor", "run", "at", "other_at", "words", "other_words"), threshold)
+    return found.groupBy("anchor", "run").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("a", "b")))).alias("ats"))
 
 
 def mask_of(count: int, moffs: np.ndarray, row: int, marks: dict, threshold: int) -> np.ndarray:
@@ -125,7 +235,7 @@ def mask_of(count: int, moffs: np.ndarray, row: int, marks: dict, threshold: int
     return K.covered(count, np.concatenate(starts), np.concatenate(ends))
 
 
-def substring_dedup(docs: DataFrame, threshold: int = THRESHOLD, k: int = _K, pass_through: tuple[str, ...] = ()) -> DataFrame:
+def substring_dedup(docs: DataFrame, threshold: int = THRESHOLD, k: int = _K, pass_through: tuple[str, ...] = (), bucket: int = BUCKET) -> DataFrame:
     """Remove repeated spans of at least ``threshold`` words.
 
     Returns one row for each row of ``docs``: doc_id, n_words, n_removed,
@@ -137,7 +247,7 @@ def substring_dedup(docs: DataFrame, threshold: int = THRESHOLD, k: int = _K, pa
     ship(docs.sparkSession)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = repeats.keyed(docs, *pass_through).repartition(parts, *repeats.ROW)
-    spans = repeat_spans(repeats.keyed(docs), threshold, k)
+    spans = repeat_spans(repeats.keyed(docs), threshold, k, bucket)
     both = rows.join(spans, repeats.ROW, "left").select("doc_id", "text", "marks", *pass_through)
     also = [rows.schema[c] for c in pass_through]
     schema = StructType([*StructType.fromDDL(f"doc_id long, {_RESULT}").fields, *also])

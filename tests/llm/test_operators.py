@@ -63,7 +63,8 @@ def _same(got, want):
     assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
 
 
-def test_substring_dedup(docs, rows, none):
+@pytest.mark.parametrize("bucket", [10_000, 1])
+def test_substring_dedup(docs, rows, none, bucket):
     first = {}
     for i, t in rows:
         w = WORD.findall(t or "")
@@ -80,7 +81,7 @@ def test_substring_dedup(docs, rows, none):
                 gone[p : p + 50] = [True] * 50
         kept = " ".join(x for x, g in zip(w, gone, strict=True) if not g)
         want.append((i, len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest()))
-    out = substring_dedup.substring_dedup(docs)
+    out = substring_dedup.substring_dedup(docs, bucket=bucket)
     _same(out.select("doc_id", "n_words", "n_removed", "kept_sha256").collect(), want)
     for r in out.collect():
         assert hashlib.sha256(" ".join(WORD.findall(r.kept_text or "")).encode()).hexdigest() == r.kept_sha256
@@ -377,6 +378,7 @@ def test_chi_square():
 
 def test_decontamination(spark, docs, rows, none):
     items = [(1, rows[12][1][40:200]), (2, "a B"), (10, rows[13][1][:300].upper()), (11, None), (12, ""), (None, "single"), (1, rows[12][1][40:200])]
+    items += [(20 + k, f"own words {k} of an item and then " + rows[14][1][30:250]) for k in range(30)]  # a window that many items share
     table = spark.createDataFrame(items, "item_id long, text string")
     windows = {}
     for k, t in items:
@@ -554,3 +556,43 @@ def test_near_duplicates_of_symbols_and_long_texts(spark):
     sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in near]
     links = [sum(1 for b in sets if b is not a and len(a & b) >= 0.8 * len(a | b)) for a in sets]
     assert got == {1: (1, 1), 2: (1, 1), 3: (3, 0), 4: (4, 0)} | {10 + k: (10, n) for k, n in enumerate(links)} and min(links) > 0
+
+
+def test_license_files_and_headers(spark):
+    """A whole licence file and a header against the full templates."""
+    full = dict((len(t), (n, t)) for n, t in license_scan.TEMPLATES)
+    longest = {name: text for _, (name, text) in sorted(full.items())}
+    files = [(k, f"p{k}/LICENSE", f"{name} text\n\nCopyright (c) 2020 Some Body\n\n" + text.replace(". ", ".\n")) for k, (name, text) in enumerate(sorted(longest.items())) if len(text) > 300]
+    head = "/*\n * Copyright 2021 Some Body\n * " + longest["MPL-2.0"].replace(". ", ".\n * ") + "\n */\nint main() { return 0; }\n"
+    table = spark.createDataFrame([*files, (100, "q/main.c", head), (101, f"p{min(k for k, *_ in files)}/x.c", "nothing")], "doc_id long, path string, text string")
+    got = {r.doc_id: (r.license, r.basis) for r in license_scan.license_scan(table).collect()}
+    names = {k: text.split(" text")[0] for k, _, text in files}
+    assert len(names) >= 8 and {k: got[k][0] for k in names} == names
+    assert got[100] == ("MPL-2.0", "own") and got[101] == (names[min(names)], "inherited")
+
+
+def test_inheritance_by_brute_force(spark):
+    """Random trees against a walk up the directories."""
+    rnd = random.Random(6)
+    notices = {"MIT": "Released under the MIT License.", "Apache-2.0": "Licensed under the Apache License, Version 2.0.", "CC-BY-4.0": "Licensed under CC BY 4.0."}
+    files = []
+    for k in range(220):
+        folder = [rnd.choice("abc") for _ in range(rnd.randint(0, 5))]
+        named = rnd.random() < 0.15
+        has = rnd.random() < (0.8 if named else 0.1)
+        files.append((k, "/".join([*folder, f"{'LICENSE' if named else 'f'}{k}"]), rnd.choice(sorted(notices)) if has else None))
+    table = spark.createDataFrame([(k, p, notices[n] if n else "quiet rivers") for k, p, n in files], "doc_id long, path string, text string")
+    got = {r.doc_id: (r.license, r.basis, r.license_path) for r in license_scan.license_scan(table).collect()}
+    scores = {r.doc_id: r.score for r in license_scan.license_scan(table).collect()}
+    for k, path, own in files:
+        if own:
+            assert got[k] == (own, "own", path)
+            continue
+        steps, want = path.split("/")[:-1], (None, None, None)
+        for n in range(len(steps), -1, -1):
+            here = [(-scores[j], p, name) for j, p, name in files if name and p.split("/")[:-1] == steps[:n] and p.split("/")[-1].startswith("LICENSE")]
+            if here:
+                _, p, name = min(here)
+                want = (name, "inherited", p)
+                break
+        assert got[k] == want
