@@ -9,9 +9,11 @@ the stored members begin, reads the index and then ranges of records; nothing
 is extracted.
 
 Scale: of equal payloads one record is a response, the others are revisits
-without the payload. Which one comes from an aggregation over digests,
-combined before the exchange, and a join that adaptive execution can split
-where one payload is hot. Archives are written task by task (several, if a
+without the payload. Which one comes from digests and ids alone: an
+aggregation over digests, combined before the exchange, and a join back that
+adaptive execution can split where one payload is hot. Pages themselves are
+dealt out by their own key, so a very common page is no single task's.
+Archives are written task by task (several, if a
 task has more than ``roll_bytes``) and moved to their names when whole.
 Reading deals out ranges of about ``split_bytes``.
 
@@ -36,6 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillon.llm import storage
+from quillon.llm.components import apart
 
 DATA = "archive/data.warc.gz"
 INDEX = "indexes/index.cdxj"
@@ -181,10 +184,15 @@ def write_archives(pages: DataFrame, uri: str, least: int = LEAST_REVISIT, roll_
     storage.ship(pages.sparkSession)
     body = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("html"))
+    # pages of different ids never meet, however many there are
+    rows = rows.withColumn("row_id", F.coalesce("page_id", F.xxhash64("html"))).withColumn("row_key", F.xxhash64("page_id", "url", "html"))
     rows = rows.withColumn("digest", F.sha2("html", 256))
-    groups = rows.filter(F.octet_length("html") >= least).groupBy("digest")
-    first = groups.agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first")).filter("n > 1").drop("n")
-    told = rows.join(first, "digest", "left").select("page_id", "url", "html", "digest", "first")
+    narrow = rows.filter(F.octet_length("html") >= least).select("row_id", "row_key", "page_id", F.unhex("digest").alias("d"))
+    narrow = storage.materialise(narrow, "digests")
+    first = narrow.groupBy("d").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first")).filter("n > 1").drop("n")
+    marks = narrow.join(apart(first), "d").groupBy("row_id", "row_key").agg(F.min("first").alias("first"))
+    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    told = rows.repartition(parts, "row_id", "row_key").join(marks, ["row_id", "row_key"], "left").select("page_id", "url", "html", "digest", "first")
 
     def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
