@@ -49,12 +49,12 @@ BUCKET = 10_000  # contexts of an anchor, at most some 7 MB of words
 _RESULT = "n_words long, n_removed long, kept_sha256 string, kept_text string"
 
 
-def repeat_spans(docs: DataFrame, threshold: int = THRESHOLD, k: int = _K, bucket: int = BUCKET) -> DataFrame:
+def repeat_spans(docs: DataFrame, dealt: DataFrame, threshold: int = THRESHOLD, k: int = _K, bucket: int = BUCKET) -> DataFrame:
     """Word spans to remove: the row (``repeats.ROW``) and ``marks``, an array of (start, n, mask).
 
     ``start`` is the first window of a run and ``n`` its number of windows;
     ``mask`` has a byte for each of them (null: all match). ``docs`` is what
-    ``repeats.keyed`` gives.
+    ``repeats.keyed`` gives, ``dealt`` the same rows partitioned by ``ROW``.
     """
     w = threshold - k + 1
     named = docs.filter(F.col("doc_id").isNotNull())
@@ -70,9 +70,9 @@ def repeat_spans(docs: DataFrame, threshold: int = THRESHOLD, k: int = _K, bucke
     )
     differing = materialise(differing.filter("r0 < r1 AND d0 < d1").select("anchor", (F.col("contexts") > bucket).alias("hot")), "differing")
     unclear = contexts.join(differing, "anchor").select("anchor", "run", "rep.row_id", "rep.row_key", "rep.start", "n", "hot")
-    partly = _near_seeds(_cut(docs, unclear.filter("NOT hot"), threshold), threshold)
+    partly = _near_seeds(_cut(dealt, unclear.filter("NOT hot"), threshold), threshold)
     if not differing.filter("hot").isEmpty():
-        partly = partly.unionByName(_far_seeds(materialise(_cut(docs, unclear.filter("hot"), threshold), "hot-contexts"), threshold))
+        partly = partly.unionByName(_far_seeds(materialise(_cut(dealt, unclear.filter("hot"), threshold), "hot-contexts"), threshold))
     repeated = contexts.filter(F.col("last") > F.col("rep.row_id")).select("anchor", "run", F.col("rep.row_id").alias("first"))
     verdict = repeated.join(partly, ["anchor", "run"], "full")
     hit = found.join(verdict, ["anchor", "run"])
@@ -82,10 +82,14 @@ def repeat_spans(docs: DataFrame, threshold: int = THRESHOLD, k: int = _K, bucke
     return repeats.by_document(marks, "start", "n", "ats")
 
 
-def _cut(docs: DataFrame, unclear: DataFrame, threshold: int) -> DataFrame:
-    """Word hashes of each unclear context, cut from its representative document."""
+def _cut(dealt: DataFrame, unclear: DataFrame, threshold: int) -> DataFrame:
+    """Word hashes of each unclear context, cut from its representative document.
+
+    Takes all columns of ``dealt``, so that the exchange of texts is that of
+    the last step and is made once.
+    """
     by_doc = unclear.groupBy(*repeats.ROW).agg(F.collect_list(F.struct("anchor", "run", "start", "n")).alias("marks"))
-    both = docs.join(by_doc, repeats.ROW).select("row_id", "text", "marks")
+    both = dealt.join(by_doc, repeats.ROW)
 
     def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,7 +251,7 @@ def substring_dedup(docs: DataFrame, threshold: int = THRESHOLD, k: int = _K, pa
     ship(docs.sparkSession)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = repeats.keyed(docs, *pass_through).repartition(parts, *repeats.ROW)
-    spans = repeat_spans(repeats.keyed(docs), threshold, k, bucket)
+    spans = repeat_spans(repeats.keyed(docs), rows, threshold, k, bucket)
     both = rows.join(spans, repeats.ROW, "left").select("doc_id", "text", "marks", *pass_through)
     also = [rows.schema[c] for c in pass_through]
     schema = StructType([*StructType.fromDDL(f"doc_id long, {_RESULT}").fields, *also])
