@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from quillon.functions import scalar as S, vectors as V
 from quillon.plans.registry import Tables, query
-from quillon.retrieval import hybrid, nearest as N, postings, search as X, vectorindex as VI
+from quillon.retrieval import analyze, hybrid, nearest as N, postings, search as X, vectorindex as VI
 
 _STORED: dict[tuple, object] = {}
 
@@ -98,7 +98,19 @@ def search_scan(t: Tables):
     return _ranked(X.matched(X.Index(t.documents, ("text",), ("doc_id",)), "license", typos=False))
 
 
-@query()
+_STOPS = ", ".join(f"'{w}'" for w in sorted(analyze.STOP_WORDS))
+_ENGLISH = _TOKENS.replace("SELECT doc_id, lang, source, regexp", "SELECT doc_id, lang, source, [x FOR x IN regexp").replace("+') AS w FROM", f"+') IF x NOT IN ({_STOPS})] AS w FROM")
+#: Words with one stem.
+_FORMS = {"licens": "'license', 'licensed', 'licenses', 'licensing'", "public": "'public', 'publics'"}
+
+
+def _stem_score(stem: str) -> str:
+    tf = f"len([x FOR x IN w IF x IN ({_FORMS[stem]})])"
+    df = f"(SELECT count_if({tf} > 0) FROM d)"
+    return f"(ln(1 + (n - {df} + 0.5) / ({df} + 0.5)) * {tf} * 2.2 / ({tf} + 1.2 * (0.25 + 0.75 * len(w) / mean)))"
+
+
+@query(f"{_ENGLISH} SELECT doc_id, round(a + b, 5) AS score FROM (SELECT doc_id, {_stem_score('licens')} AS a, {_stem_score('public')} AS b FROM d, s) WHERE a > 0 AND b > 0 ORDER BY a + b DESC, doc_id LIMIT 20")
 def search_english(t: Tables):
     return _best(_index(t, "english").matched("licensed public"), 20).select("doc_id", F.round("_score", 5).alias("score"))
 
