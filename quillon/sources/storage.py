@@ -61,6 +61,13 @@ def rename(spark: SparkSession, old: str, new: str) -> None:
         raise RuntimeError(f"{old} can't be moved")
 
 
+def folders(spark: SparkSession, uri: str) -> list[str]:
+    """Names of the folders in a folder."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    return sorted(s.getPath().getName() for s in found if s.isDirectory())
+
+
 def fresh(spark: SparkSession, name: str) -> str:
     """A new URI in the workspace."""
     return f"{workspace(spark)}/{name}-{uuid.uuid4().hex[:12]}"

@@ -2,7 +2,8 @@
 
 A statement makes a new version of a table's rows; old files stay until
 ``Engine.vacuum``, so DataFrames made before it keep their rows. INSERT only
-adds files. Every statement is one transaction of the change log.
+adds files; UPDATE and DELETE of a partitioned table write the partitions
+that they touch. Every statement is one transaction of the change log.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from quillon.functions import vectors
+from quillon.sources import storage
 from quillon.sql.catalog import BOUNDS, Foreign, Layout, Table, split_type
 from quillon.sql.compile import quote, unquote
 from quillon.sql.parser import Parser, SqlError
@@ -207,21 +209,31 @@ class Writes:
 
     # versions
 
-    def _laid(self, rows: DataFrame, layout: Layout | None) -> str:
-        """Write rows in the table's layout; the folder."""
+    def _laid(self, rows: DataFrame, layout: Layout | None) -> tuple[str, ...]:
+        """Write rows in the table's layout; the folder, or one for each partition."""
         uri = self._fresh("table")
         if layout is None:
             rows.write.parquet(uri)
-        else:
-            kinds = {f.name: f.dataType for f in rows.schema}
-            rows.withColumn("_part", layout.part(kinds)).write.partitionBy("_part").parquet(uri)
-        return uri
+            return (uri,)
+        rows.withColumn("_part", self._part_of(rows, layout)).write.partitionBy("_part").parquet(uri)
+        return tuple(f"{uri}/{n}" for n in storage.folders(self.spark, uri) if n.startswith("_part="))
+
+    def _part_of(self, rows: DataFrame, layout: Layout) -> Column:
+        return layout.part({f.name: f.dataType for f in rows.schema})
+
+    def _touched(self, layout: Layout, *sides: DataFrame) -> set[int]:
+        """Numbers of the partitions that rows lie in."""
+        return {r[0] for s in sides for r in s.select(self._part_of(s, layout)).distinct().collect()}  # as many as partitions at most
 
     def _read(self, uris: tuple[str, ...], schema: T.StructType, layout: Layout | None) -> DataFrame:
-        if layout is not None:
-            schema = T.StructType([*schema.fields, T.StructField("_part", T.IntegerType())])
-        frames = [self.spark.read.schema(schema).parquet(u) for u in uris] if layout is not None else [self.spark.read.schema(schema).parquet(*uris)]
-        out = frames[0]
+        if layout is None:
+            return self.spark.read.schema(schema).parquet(*uris)
+        schema = T.StructType([*schema.fields, T.StructField("_part", T.IntegerType())])
+        roots: dict[str, list[str]] = {}
+        for u in uris:
+            roots.setdefault(u.rpartition("/")[0], []).append(u)
+        frames = [self.spark.read.schema(schema).option("basePath", root).parquet(*own) for root, own in roots.items()]
+        out = frames[0] if frames else self.spark.createDataFrame([], schema)
         for f in frames[1:]:
             out = out.unionByName(f)
         return out
@@ -231,18 +243,23 @@ class Writes:
         full = self._read(uris, schema, table.layout)
         self._set(name, replace(table, rows=full.drop("_part") if table.layout else full, uris=uris), full)
 
-    def _store(self, name: str, table: Table, rows: DataFrame) -> None:
-        uri = self._laid(rows, table.layout)
-        self._superseded += [u for u in table.uris]
-        self._version(name, table, (uri,), rows.schema)
+    def _store(self, name: str, table: Table, rows: DataFrame, touched: set[int] | None = None) -> None:
+        """A version of ``rows``; with ``touched`` only these partitions are written, others keep their files."""
+        kept: tuple[str, ...] = ()
+        if touched is not None and table.layout is not None and table.uris:
+            kept = tuple(u for u in table.uris if int(u.rpartition("=")[2]) not in touched)
+            rows = rows.filter(self._part_of(rows, table.layout).isin(*touched)) if touched else rows.limit(0)
+        uris = self._laid(rows, table.layout)
+        self._superseded += [u for u in table.uris if u not in kept]
+        self._version(name, table, (*kept, *uris), rows.schema)
         self._stale(name)
 
     def _append(self, name: str, table: Table, new: DataFrame) -> None:
         if not table.uris:
             self._store(name, table, table.rows.unionByName(new))
             return
-        uri = self._laid(new, table.layout)
-        self._version(name, table, (*table.uris, uri), table.rows.schema)
+        uris = self._laid(new, table.layout)
+        self._version(name, table, (*table.uris, *uris), table.rows.schema)
         self._extend(name, new)
 
     # statements
@@ -392,7 +409,7 @@ class Writes:
             self._check_keys(name, table, rest, after)
         if set(changes) & {c for f in table.foreign for c in f.columns}:
             self._check_parents(name, table, after)
-        self._store(name, table, whole)
+        self._store(name, table, whole, self._touched(table.layout, hit, after) if table.layout else None)
         if set(changes) & {k for _, f in self._children(name) for k in f.parent_columns}:
             self._settle_children(name, both, both, 1)
         self._log(name, table, "UPDATE", both.select(*columns), after)
@@ -404,7 +421,7 @@ class Writes:
         table = self.table(name)
         hit, rest, items = self._chosen(p, name, table, args)
         hit = self._keep(hit)
-        self._store(name, table, rest)
+        self._store(name, table, rest, self._touched(table.layout, hit) if table.layout else None)
         self._settle_children(name, hit, None, 1)
         self._log(name, table, "DELETE", hit, None)
         return self._answer(name, hit, items, args)

@@ -223,3 +223,23 @@ def test_distinct_by_key_and_prepared(spark):
     assert "Aggregate" not in "".join(r.plan for r in e.sql("EXPLAIN SELECT DISTINCT a, b, c FROM k").collect())
     ask = e.prepare("SELECT c FROM k WHERE a = $a AND b = $b")
     assert [rows(ask({"a": 1, "b": 2})), rows(ask({"a": 2, "b": 1}))] == [[(5,)], [(6,)]]
+
+
+def test_writes_touch_their_partitions_only(spark):
+    e = Engine(spark)
+    e.sql("CREATE TABLE p (k INT64, id INT64, v INT64, PRIMARY KEY (k, id)) PARTITION BY RANGE (k) (PARTITION a VALUES LESS THAN (10), PARTITION b VALUES LESS THAN (20), PARTITION c VALUES LESS THAN MAXVALUE)")
+    e.sql("INSERT INTO p VALUES (1, 1, 0), (11, 2, 0), (12, 3, 0), (25, 4, 0)")
+    files = lambda n: {u for u in e.table("p").uris if u.endswith(f"_part={n}")}
+    before = {n: files(n) for n in range(3)}
+    e.sql("UPDATE p SET v = 7 WHERE k = 12")
+    assert [files(n) == before[n] for n in range(3)] == [True, False, True]
+    e.sql("UPDATE p SET k = 2 WHERE k = 25")
+    e.sql("DELETE FROM p WHERE id = 2")
+    assert sorted(rows(e.sql("SELECT * FROM p"))) == [(1, 1, 0), (2, 4, 0), (12, 3, 7)]
+    assert rows(e.sql("SELECT id FROM p WHERE k >= 20")) == [] and e.access == ["p partitions=[c]"]
+    e.vacuum()
+    assert len(rows(e.sql("SELECT * FROM p"))) == 3
+    e.sql("DELETE FROM p")
+    assert rows(e.sql("SELECT * FROM p")) == []
+    e.sql("INSERT INTO p VALUES (5, 5, 5)")
+    assert rows(e.sql("SELECT * FROM p")) == [(5, 5, 5)]
