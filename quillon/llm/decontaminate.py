@@ -143,7 +143,7 @@ def _find(docs: DataFrame, index: Index, also: tuple[str, ...] = ()) -> DataFram
                 )
 
     needed = dict.fromkeys([*repeats.ROW, "doc_id", "text", *also])
-    return docs.select(*needed).mapInArrow(op, StructType([*StructType.fromDDL(_HITS).fields, *fields]))
+    return docs.select(*needed).mapInArrow(K.lean(op), StructType([*StructType.fromDDL(_HITS).fields, *fields]))
 
 
 def _long_windows(items: DataFrame, span: int) -> DataFrame:
@@ -158,7 +158,7 @@ def _long_windows(items: DataFrame, span: int) -> DataFrame:
                 ids = batch.column("id").take(pa.array(i + K.row_of(first, at)))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(marks.view(np.int64)), *_window_keys(hashes, prefix, at, span)], names=["id", "fp", "key", "check"])
 
-    return items.select("id", "text").mapInArrow(op, "id string, fp long, key long, check long").distinct()
+    return items.select("id", "text").mapInArrow(K.lean(op), "id string, fp long, key long, check long").distinct()
 
 
 def _window_keys(hashes: np.ndarray, prefix: np.ndarray, at: np.ndarray, span: int) -> list[pa.Array]:
@@ -182,7 +182,7 @@ def _runs(rows: DataFrame, span: int) -> DataFrame:
                 take = pa.array(i + row[a])
                 yield pa.RecordBatch.from_arrays([pa.array(marks[a].view(np.int64)), *(k.take(take) for k in keys), pa.array((at[a] - first[row[a]]).astype(np.int32)), pa.array((b - a).astype(np.int32))], names=["fp", *repeats.ROW, "start", "n"])
 
-    return rows.select(*repeats.ROW, "text").mapInArrow(op, "fp long, row_id long, row_key long, start int, n int")
+    return rows.select(*repeats.ROW, "text").mapInArrow(K.lean(op), "fp long, row_id long, row_key long, start int, n int")
 
 
 def _marked_windows(rows: DataFrame, marks: DataFrame, span: int) -> DataFrame:
@@ -203,7 +203,7 @@ def _marked_windows(rows: DataFrame, marks: DataFrame, span: int) -> DataFrame:
                 take = pa.array(i + of)
                 yield pa.RecordBatch.from_arrays([*(k.take(take) for k in keys), pa.array(at.astype(np.int32)), *_window_keys(hashes, K.word_prefix(hashes), first[of] + at, span)], names=[*repeats.ROW, "at", "key", "check"])
 
-    return rows.join(marks, repeats.ROW).select(*repeats.ROW, "text", "marks").mapInArrow(op, "row_id long, row_key long, at int, key long, check long")
+    return rows.join(marks, repeats.ROW).select(*repeats.ROW, "text", "marks").mapInArrow(K.lean(op), "row_id long, row_key long, at int, key long, check long")
 
 
 def _joined(rows: DataFrame, items: DataFrame, span: int) -> DataFrame:
@@ -292,4 +292,4 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, block_byt
             )
 
     schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, starts array<int>, ends array<int>, row_id long, row_key long"
-    return found.mapInArrow(op, StructType([*StructType.fromDDL(schema).fields, *(found.schema[c] for c in pass_through)]))
+    return found.mapInArrow(K.lean(op), StructType([*StructType.fromDDL(schema).fields, *(found.schema[c] for c in pass_through)]))

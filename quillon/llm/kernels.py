@@ -9,6 +9,7 @@ bijective 64-bit mixer.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,6 +56,31 @@ class _Powers:
 BYTES, WORDS = _Powers(_BASE_BYTES), _Powers(_BASE_WORDS)
 
 
+def trim() -> None:
+    """Give freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(op):
+    """An Arrow operator whose worker holds little when its task is done.
+
+    Workers outlive their stage, so what they keep stands beside the memory
+    of the next stage's.
+    """
+
+    def run(batches):
+        try:
+            yield from op(batches)
+        finally:
+            trim()
+
+    return run
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on 64-bit words (the splitmix64 constants)."""
     x = x ^ (x >> U64(30))

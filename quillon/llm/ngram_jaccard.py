@@ -293,8 +293,7 @@ def _profile(docs: DataFrame) -> DataFrame:
                     names=[*repeats.ROW, "doc_id", "key", "check", "bits0", "bits1", "size", "bands"],
                 )
 
-    return docs.select(*repeats.ROW, "doc_id", "text").mapInArrow(
-        op, "row_id long, row_key long, doc_id long, key long, check long, bits0 long, bits1 long, size long, bands array<long>"
+    return docs.select(*repeats.ROW, "doc_id", "text").mapInArrow(K.lean(op), "row_id long, row_key long, doc_id long, key long, check long, bits0 long, bits1 long, size long, bands array<long>"
     )
 
 
@@ -313,7 +312,7 @@ def _candidates(sets: DataFrame, threshold: float, tolerance: float, block: int)
             if len(u):
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-    return dealt.select("band", "lo", "hi", "node", "bits0", "bits1").mapInArrow(op, "u long, v long").distinct()
+    return dealt.select("band", "lo", "hi", "node", "bits0", "bits1").mapInArrow(K.lean(op), "u long, v long").distinct()
 
 
 def _links(docs: DataFrame, sets: DataFrame, groups: DataFrame, threshold: float, tolerance: float, block: int) -> DataFrame:
@@ -348,7 +347,7 @@ def _links(docs: DataFrame, sets: DataFrame, groups: DataFrame, threshold: float
                 root[x:y] = forest(int(y - x), a, b) + x
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node, node[root], linked)], names=["node", "root", "linked"])
 
-    return texts.mapInArrow(op, "node long, root long, linked long")
+    return texts.mapInArrow(K.lean(op), "node long, root long, linked long")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:

@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from quillon.llm import tokenize
+from quillon.llm import kernels as K, tokenize
 from quillon.llm.storage import materialise, ship
 
 LENGTH = 2048
@@ -68,7 +68,7 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_I
             )
 
     schema = _PIECES.removeprefix("part int, ")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(op, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(K.lean(op), schema)
 
 
 def knapsack(prices: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -214,7 +214,7 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID,
                 slot[at] = (capacity - c) * (length + 1) + inside % each[j]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in order] + [pa.array(sequence), pa.array(slot)], names=[*order, "sequence_id", "slot"])
 
-    dealt = rows.select("class", "rank", *order).mapInArrow(op, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, slot long")
+    dealt = rows.select("class", "rank", *order).mapInArrow(K.lean(op), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, slot long")
     one = Window.partitionBy("sequence_id")
     ahead = one.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     total = F.sum("length").over(one)

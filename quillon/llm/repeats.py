@@ -74,7 +74,7 @@ def runs_of(docs: DataFrame, k: int, w: int, words: bool) -> DataFrame:
                     names=_RUN_NAMES,
                 )
 
-    return docs.select(*ROW, "text").mapInArrow(op, RUNS)
+    return docs.select(*ROW, "text").mapInArrow(K.lean(op), RUNS)
 
 
 def by_document(marks: DataFrame, *fields: str) -> DataFrame:

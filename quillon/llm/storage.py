@@ -17,7 +17,7 @@ from quillon.sources import storage as shared
 from quillon.sources.storage import fresh
 
 #: Arrow settings, Spark's default and the value for batches of texts.
-_BATCHES = (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864", "16777216"))
+_BATCHES = (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864", "4194304"))
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

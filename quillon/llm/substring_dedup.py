@@ -43,7 +43,7 @@ from quillon.llm.storage import materialise, ship
 
 THRESHOLD = 50
 _K = 16
-_CHUNK = 1 << 19
+_CHUNK = 1 << 17
 BUCKET = 10_000  # contexts of an anchor, at most some 7 MB of words
 
 _RESULT = "n_words long, n_removed long, kept_sha256 string, kept_text string"
@@ -112,7 +112,7 @@ def _cut(dealt: DataFrame, unclear: DataFrame, threshold: int) -> DataFrame:
                 part = slice(a, b)
                 yield pa.RecordBatch.from_arrays([marks["anchor"][part], marks["run"][part], pa.array(ids[i + row]), lists], names=["anchor", "run", "first", "words"])
 
-    return both.mapInArrow(op, "anchor long, run long, first long, words array<long>")
+    return both.mapInArrow(K.lean(op), "anchor long, run long, first long, words array<long>")
 
 
 def _words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -135,7 +135,7 @@ def _windows(cut: DataFrame, threshold: int) -> DataFrame:
                 [batch.column(c).take(take) for c in ("anchor", "run", "first")] + [pa.array((pos - offs[of]).astype(np.int32)), pa.array(win.view(np.int64))], names=["anchor", "run", "first", "at", "win"]
             )
 
-    return cut.mapInArrow(op, "anchor long, run long, first long, at int, win long")
+    return cut.mapInArrow(K.lean(op), "anchor long, run long, first long, at int, win long")
 
 
 def _equal_run(x: np.ndarray, y: np.ndarray, p: np.ndarray, q: np.ndarray, most: np.ndarray, step: int) -> np.ndarray:
@@ -170,7 +170,7 @@ def _extend(pairs: DataFrame, threshold: int) -> DataFrame:
             a, b = (at - left)[keep], (at + right - threshold)[keep]
             yield pa.RecordBatch.from_arrays([batch.column("anchor").take(take), batch.column("run").take(take), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], names=["anchor", "run", "a", "b"])
 
-    return pairs.mapInArrow(op, "anchor long, run long, a int, b int")
+    return pairs.mapInArrow(K.lean(op), "anchor long, run long, a int, b int")
 
 
 def _near_seeds(cut: DataFrame, threshold: int) -> DataFrame:
@@ -206,7 +206,7 @@ def _near_seeds(cut: DataFrame, threshold: int) -> DataFrame:
             take = pa.array(some)
             yield pa.RecordBatch.from_arrays([t["anchor"].combine_chunks().take(take), t["run"].combine_chunks().take(take), lists], names=["anchor", "run", "ats"])
 
-    return dealt.mapInArrow(op, "anchor long, run long, ats array<int>")
+    return dealt.mapInArrow(K.lean(op), "anchor long, run long, ats array<int>")
 
 
 def _far_seeds(cut: DataFrame, threshold: int) -> DataFrame:
@@ -280,7 +280,7 @@ def substring_dedup(docs: DataFrame, threshold: int = THRESHOLD, k: int = _K, pa
                 names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", *pass_through],
             )
 
-    return both.mapInArrow(op, schema)
+    return both.mapInArrow(K.lean(op), schema)
 
 
 def _kept(raw: bytes, starts: np.ndarray, ends: np.ndarray, keep: np.ndarray, f: int, g: int) -> bytes:

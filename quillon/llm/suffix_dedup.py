@@ -149,7 +149,7 @@ def _contexts(docs: DataFrame, unclear: DataFrame, threshold: int) -> DataFrame:
                 names=["anchor", "run", "n", "lone", "hot", "context"],
             )
 
-    return both.mapInArrow(op, "anchor long, run long, n int, lone boolean, hot boolean, context binary")
+    return both.mapInArrow(K.lean(op), "anchor long, run long, n int, lone boolean, hot boolean, context binary")
 
 
 def _sort_buckets(contexts: DataFrame, threshold: int) -> DataFrame:
@@ -191,7 +191,7 @@ def _sort_buckets(contexts: DataFrame, threshold: int) -> DataFrame:
             yield from _pieces(pa.Table.from_batches(held), solve)
 
     near = contexts.filter("NOT hot").repartition("anchor").sortWithinPartitions("anchor").select("anchor", "run", "n", "lone", "context")
-    return near.mapInArrow(op, "anchor long, run long, ats array<int>")
+    return near.mapInArrow(K.lean(op), "anchor long, run long, ats array<int>")
 
 
 def _pieces(t: pa.Table, solve) -> Iterator[pa.RecordBatch]:
@@ -233,7 +233,7 @@ def _count_windows(contexts: DataFrame, threshold: int) -> DataFrame:
                 names=["anchor", "run", "lone", "at", "win"],
             )
 
-    rows = contexts.filter("hot").select("anchor", "run", "n", "lone", "context").mapInArrow(op, "anchor long, run long, lone boolean, at int, win long")
+    rows = contexts.filter("hot").select("anchor", "run", "n", "lone", "context").mapInArrow(K.lean(op), "anchor long, run long, lone boolean, at int, win long")
     rows = materialise(rows, "hot-windows")
     twice = rows.groupBy("anchor", "win").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
     return rows.filter("lone").join(twice, ["anchor", "win"]).groupBy("anchor", "run").agg(F.collect_set("at").alias("ats"))
@@ -287,4 +287,4 @@ def suffix_dedup(docs: DataFrame, threshold: int = THRESHOLD, bucket: int = BUCK
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes"],
             )
 
-    return both.mapInArrow(op, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary")
+    return both.mapInArrow(K.lean(op), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary")

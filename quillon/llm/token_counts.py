@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quillon.llm import tokenize
+from quillon.llm import kernels as K, tokenize
 from quillon.llm.storage import ship
 
 _SPACES = re.compile(r"\s{2,}(?=\S)")
@@ -269,7 +269,6 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, keep_table: bool
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit", "fits_chars", "prefix_counts"],
             )
 
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        op, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fits_chars long, prefix_counts binary"
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(K.lean(op), "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fits_chars long, prefix_counts binary"
     )
     return out if keep_table else out.drop("prefix_counts")

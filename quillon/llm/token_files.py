@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillon.llm import storage, tokenize
+from quillon.llm import kernels as K, storage, tokenize
 
 _HEADER = struct.Struct("<4sHHIQQQQ")
 _MAGIC = b"QTOK"
@@ -190,7 +190,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, uri: str, block_i
         yield pa.RecordBatch.from_pylist([{"path": target, "part": part} | made], schema=pa.schema([("path", pa.string()), ("part", pa.int32()), ("documents", pa.int64()), ("ids", pa.int64())]))
 
     manifest, start = [], 0
-    for r in sorted(rows.mapInArrow(op, _MANIFEST).collect(), key=lambda r: r["part"]):
+    for r in sorted(rows.mapInArrow(K.lean(op), _MANIFEST).collect(), key=lambda r: r["part"]):
         manifest.append(r.asDict() | {"start": start})
         start += r["ids"]
     return manifest
@@ -227,4 +227,4 @@ def read_token_files(spark: SparkSession, manifest: list[dict], split_documents:
                     )
                 reader.close()
 
-    return plan.mapInArrow(op, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return plan.mapInArrow(K.lean(op), "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillon.llm import storage
+from quillon.llm import kernels as K, storage
 from quillon.llm.components import apart
 
 DATA = "archive/data.warc.gz"
@@ -225,7 +225,7 @@ def write_archives(pages: DataFrame, uri: str, least: int = LEAST_REVISIT, roll_
             number += 1
             yield pa.RecordBatch.from_pydict({"path": [path], "records": pa.array([count], pa.int64())})
 
-    return storage.materialise(told.mapInArrow(op, "path string, records long"), "archives")
+    return storage.materialise(told.mapInArrow(K.lean(op), "path string, records long"), "archives")
 
 
 _ROWS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -275,5 +275,5 @@ def read_archives(archives: DataFrame, split_bytes: int = 8 << 20, keep_payload:
                     names=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"],
                 )
 
-    splits = archives.select("path").repartition(parts).mapInArrow(locate, "path string, start long, length long, sizes array<int>")
-    return splits.repartition(parts).mapInArrow(fetch, _ROWS)
+    splits = archives.select("path").repartition(parts).mapInArrow(K.lean(locate), "path string, start long, length long, sizes array<int>")
+    return splits.repartition(parts).mapInArrow(K.lean(fetch), _ROWS)
